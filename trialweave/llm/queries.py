@@ -10,16 +10,27 @@ from .common import table
 from .licenses import build_index, scan_licenses
 from .mixing import mix_sources
 from .quality import fit_quality, score_quality
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def held_out(doc_id) -> F.Column:
+    return F.crc32(doc_id.cast("string")) % 4 == 2
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(documents, table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))))
+    return score_toxicity(documents, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     # rows with crc32(doc_id) mod 4 = 2 are left out of the fit, to measure it on
-    labels = table(spark, sf_dir, "labels").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
     return score_quality(documents, fit_quality(documents, labels))
 
 
@@ -35,6 +46,6 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(chats.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_quality_rules, op5_license_scan, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_toxicity, op4_quality_rules, op5_license_scan, op9_chat_format)}
 
 ORACLE_SQL: dict[str, str] = {}
