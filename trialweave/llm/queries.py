@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import chat_digest, format_chats
 from .common import table
 from .html import extract_main_text
+from .jaccard import jaccard_components
 from .licenses import build_index, scan_licenses
 from .mixing import mix_sources
 from .quality import fit_quality, score_quality
@@ -44,6 +45,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     say = "<|im_end|><|im_start|>assistant ok"
@@ -51,6 +56,6 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(chats.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_toxicity, op4_quality_rules, op5_license_scan, op7_html_text, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_toxicity, op4_quality_rules, op5_license_scan, op7_html_text, op8_ngram_jaccard, op9_chat_format)}
 
 ORACLE_SQL: dict[str, str] = {}
