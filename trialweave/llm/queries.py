@@ -12,6 +12,7 @@ from .jaccard import jaccard_components
 from .licenses import build_index, scan_licenses
 from .mixing import mix_sources
 from .quality import fit_quality, score_quality
+from .repeats import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -56,6 +57,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(chats.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_toxicity, op4_quality_rules, op5_license_scan, op7_html_text, op8_ngram_jaccard, op9_chat_format)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_toxicity, op4_quality_rules, op5_license_scan, op7_html_text, op8_ngram_jaccard, op9_chat_format, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
