@@ -9,6 +9,7 @@ from .chat import chat_digest, format_chats
 from .common import table
 from .html import extract_main_text
 from .jaccard import jaccard_components
+from .leaks import mark_leaks
 from .licenses import build_index, scan_licenses
 from .mixing import mix_sources
 from .quality import fit_quality, score_quality
@@ -42,6 +43,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents, build_index(documents)).drop("matches")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = mark_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", F.inline("leaks"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -63,6 +69,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_toxicity, op4_quality_rules, op5_license_scan, op7_html_text, op8_ngram_jaccard, op9_chat_format, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_toxicity, op4_quality_rules, op5_license_scan, op6_decontaminate, op7_html_text, op8_ngram_jaccard, op9_chat_format, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
