@@ -16,7 +16,7 @@ with the same id share a hash and are taken alike. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, joined
@@ -51,16 +51,15 @@ def cyclic_weights(sources: list, cycle: tuple = (5.0, 2.0, 1.0)) -> dict:
     return {s: cycle[i % len(cycle)] for i, s in enumerate(ordered)}
 
 
-def mix_sources(documents: DataFrame, weights=cyclic_weights, share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """Documents' (doc_id, source, size, source_size, target, copies, taken).
+def mix_plan(documents: DataFrame, weights=cyclic_weights, share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes (doc_id, source, size, _at) and a row per source with its target and where its order is cut.
 
     ``weights``: a dict by source, or a function of the list of sources that returns one. One row per
     source comes to the driver; sources are a configured set, not data of the size of the corpus.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "mix")
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sized = scratch.keep(documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("_at")), "sized")
+    sized = scratch.keep(documents.select("doc_id", "source", _size().alias("size"), _order(seed).alias("_at")), "sized")
     totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     weight = weights(list(totals)) if callable(weights) else {s: weights.get(s, 0.0) for s in totals}
     targets = water_fill(totals, weight, share * sum(totals.values()), max_epochs)
@@ -68,10 +67,35 @@ def mix_sources(documents: DataFrame, weights=cyclic_weights, share: float = 1.5
     schema = "source string, source_size long, target double, _whole int, _need double"
     plan = spark.createDataFrame([(s, n, targets[s], whole[s], targets[s] - whole[s] * n) for s, n in totals.items()], schema)
     plan = scratch.keep(plan.coalesce(1), "plan")
-    cuts = _cut_points(sized, plan, scratch)
-    same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    out = joined(sized.alias("a"), cuts.alias("b"), same).select("a.doc_id", "a.source", "a.size", "b.source_size", "b.target", (F.col("b._whole") + (F.col("a._at") < F.col("b._cut")).cast("int")).alias("copies"))
-    return out.withColumn("taken", F.col("size") * F.col("copies"))
+    return sized, _cut_points(sized, plan, scratch)
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _order(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"))
+
+
+def _taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds source_size, target, copies and taken to rows that have source, size and _at."""
+    cuts = cuts.select(F.col("source").alias("_source"), "source_size", "target", "_whole", "_cut")
+    out = joined(rows.drop("source_size", "target", "copies", "taken"), cuts, F.col("source").eqNullSafe(F.col("_source")))
+    copies = F.col("_whole") + (F.col("_at") < F.col("_cut")).cast("int")
+    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_source", "_whole", "_cut", "_at")
+
+
+def mix_sources(documents: DataFrame, **options) -> DataFrame:
+    """Each row's doc_id, source, size, source_size, target, copies and taken."""
+    return _taken(*mix_plan(documents, **options))
+
+
+def apply_mix(documents: DataFrame, seed: int = 17, **options) -> DataFrame:
+    """The rows that the mix takes, with all their columns and size, source_size, target, copies and taken."""
+    _, cuts = mix_plan(documents, seed=seed, **options)
+    rows = documents.withColumn("size", _size()).withColumn("_at", _order(seed))
+    return _taken(rows, cuts).filter("copies > 0")
 
 
 def _cut_points(sized: DataFrame, plan: DataFrame, scratch: Scratch) -> DataFrame:

@@ -32,16 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, is_small
-from .tokens import U, Tokens, chunks, gram_docs, grams, mix, tokenize
+from .tokens import U, Tokens, chunks, distinct_pairs, grams, mix, runs_of, tokenize
 
 _NULL = 2**63 - 1
 _SLOT_BITS = 12
 #: Anchors that one fragment of the candidate search should hold, which bounds its task's memory.
-_FRAGMENT = 2_000_000
+_FRAGMENT = 500_000
 #: Documents up to which the ids of candidates are broadcast (8 bytes each).
 _IDS = 400_000
 #: Text bytes of a block in which suffixes are settled.
-_BLOCK = 4 << 20
+_BLOCK = 2 << 20
 
 
 def _ids(part: pa.RecordBatch) -> np.ndarray:
@@ -66,15 +66,6 @@ def _window_anchors(t: Tokens, window: int) -> tuple[np.ndarray, np.ndarray, np.
     return at, owner[at], m[at]
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs, by a."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
-
-
 def shared_anchors(documents: DataFrame, window: int, scratch: Scratch, fragments: int) -> DataFrame:
     """(doc_id, anchor) of the anchors that two documents have; nulls as the largest long."""
 
@@ -85,19 +76,26 @@ def shared_anchors(documents: DataFrame, window: int, scratch: Scratch, fragment
                 _, owner, anchor = _window_anchors(t, window)
                 change = np.ones(len(anchor), bool)
                 change[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
-                a, d = _pairs(anchor[change], _ids(part)[owner[change]])
+                a, d = distinct_pairs(anchor[change], _ids(part)[owner[change]])[:2]
                 first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
                 size = np.diff(np.append(first, len(a)))
                 settled = np.repeat(size > 1, size)
                 sent = np.ones(len(a), bool)
                 sent[settled] = False
                 sent[first] = True  # of settled anchors one witness
-                frag = ((a >> U(40)) * U(fragments) >> U(24)).astype(np.int64)
-                other = (mix(d.astype(U)) % U(fragments)).astype(np.int64)  # settled pairs go by document
-                for f in range(fragments):
-                    s, p = sent & (frag == f), settled & (other == f)
-                    if s.any() or p.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (a[s], d[s], settled[s], a[p], d[p]))], ["frag", "anchor", "doc", "witness", "done", "done_doc"])
+                columns: list[list] = [[], [], [], [], [], []]
+                sa, sd, sw = a[sent], d[sent], settled[sent]
+                none = a[:0].tobytes()
+                for f, i, j in runs_of(((sa >> U(40)) * U(fragments) >> U(24)).astype(np.int64)):  # sorted by anchor
+                    for c, v in zip(columns, (f, sa[i:j].tobytes(), sd[i:j].tobytes(), sw[i:j].tobytes(), none, none), strict=True):
+                        c.append(v)
+                pa_, pd = a[settled], d[settled]
+                other = (mix(pd.astype(U)) % U(fragments)).astype(np.int64)  # settled pairs go by document
+                order = np.argsort(other, kind="stable")
+                for f, i, j in runs_of(other[order]):
+                    for c, v in zip(columns, (f, none, none, none, pa_[order[i:j]].tobytes(), pd[order[i:j]].tobytes()), strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["frag", "anchor", "doc", "witness", "done", "done_doc"])
 
     def settle(table: pa.Table) -> pa.Table:
         read = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
@@ -205,7 +203,7 @@ def _repeat_rows(candidates: DataFrame, groups: _Groups, window: int) -> DataFra
             group = groups.of(t.hash, at[rest])
             order = np.lexsort((place[rest], doc[rest], group))
             rest, group = rest[order], group[order]
-            for g, a, b in _runs(group):
+            for g, a, b in runs_of(group):
                 s = rest[a:b]
                 yield _blob(g, leaf[s], ids[doc[s]], seq[doc[s]], place[s], False)
             if len(known):
@@ -235,12 +233,6 @@ def _repeat_rows(candidates: DataFrame, groups: _Groups, window: int) -> DataFra
     return rows.groupBy("grp").applyInArrow(subtree, "doc_id long, sequence long, starts array<int>")
 
 
-def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    edge = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True]) if len(values) else np.zeros(1, np.int64)
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        yield int(values[a]), int(a), int(b)
-
-
 def _blob(group: int, leaf: np.ndarray, doc: np.ndarray, seq: np.ndarray, place: np.ndarray, done: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (leaf, doc, seq, place.astype(np.uint32))), pa.array([done])], ["grp", "leaf", "doc", "seq", "place", "done"])
 
@@ -257,10 +249,10 @@ def _cut(t: Tokens, d: int, starts: np.ndarray, window: int) -> tuple[int, str]:
     return int((~keep).sum()), b" ".join(runs).decode("utf-8", "replace")
 
 
-def remove_repeats(documents: DataFrame, window: int = 50, group_rows: int = 1_000_000) -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = 50, group_rows: int = 500_000) -> DataFrame:
     """``documents`` (doc_id, text and any more columns) with its text cut, and n_words and n_removed (long) added.
 
-    A text that loses nothing comes back as it is (an empty text for null).
+    A text that loses nothing comes back as it is, null included.
     """
     scratch = Scratch(documents.sparkSession, "repeats")
     base = documents.select("doc_id", "text")
@@ -288,7 +280,7 @@ def remove_repeats(documents: DataFrame, window: int = 50, group_rows: int = 1_0
         for batch in batches:
             for part in chunks(batch, "text"):
                 repeats = part["_repeats"]
-                texts = part["text"].fill_null("")
+                texts = part["text"]
                 removed = np.zeros(part.num_rows, np.int64)
                 if repeats.null_count < part.num_rows:
                     t = tokenize(part["text"])

@@ -168,3 +168,19 @@ def gram_docs(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = t.owner()
     at = np.flatnonzero(owner[: len(h)] == owner[n - 1 : n - 1 + len(h)]) if len(h) else np.zeros(0, np.int64)
     return at, owner[at], h[at]
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order of a, then b, and where each stands in the input."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return x[new], y[new], order[new]
+
+
+def runs_of(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Value, begin and end of each run of equal values."""
+    edge = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True]) if len(values) else np.zeros(1, np.int64)
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield int(values[a]), int(a), int(b)
