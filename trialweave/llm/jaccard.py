@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, is_small
 from .graph import components
-from .tokens import U, chunks, gram_docs, grams, mix, tokenize
+from .tokens import U, chunks, distinct_pairs, gram_docs, grams, mix, runs_of, tokenize
 
 #: Words of the parity sketch, min-hashes, and fragments in which overlaps of pairs are counted.
 _SKETCH, _MINHASHES, _PARTS = 16, 3, 4
 #: N-grams that one fragment of the filter should hold, which bounds its task's memory.
-_FRAGMENT = 2_000_000
+_FRAGMENT = 500_000
 _NULL_ID = -(2**63)
 
 
@@ -93,26 +93,19 @@ def _spread(h: np.ndarray, row: np.ndarray, label: np.ndarray, part: np.ndarray,
     size = np.diff(np.append(first, len(hs)))
     many = np.minimum.reduceat(ps, first) != np.maximum.reduceat(ps, first) if len(first) else np.zeros(0, bool)
     settled = np.repeat(many, size)
-    key, count = np.unique(np.unique(np.stack([ls[settled], hs[settled]]), axis=1)[0] if settled.any() else np.zeros(0, U), return_counts=True)
-    one = ~settled
-    key2 = np.flatnonzero(one)
-    if len(key2):  # equal classes of this task send an n-gram once
-        o = np.lexsort((ls[key2], hs[key2]))
-        key2 = key2[o]
-        key2 = key2[np.r_[True, (hs[key2][1:] != hs[key2][:-1]) | (ls[key2][1:] != ls[key2][:-1])]]
-    sh, sl, sp = np.concatenate([hs[key2], hs[first[many]]]), np.concatenate([ls[key2], np.zeros(many.sum(), U)]), np.concatenate([ps[key2], np.zeros(many.sum(), U)])
+    key, count = np.unique(distinct_pairs(ls[settled], hs[settled])[0], return_counts=True)
+    # equal classes of this task send an n-gram once
+    lone = np.flatnonzero(~settled)
+    lone = lone[distinct_pairs(hs[lone], ls[lone])[2]]
+    none = np.zeros(many.sum(), U)
+    sh, sl, sp = np.concatenate([hs[lone], hs[first[many]]]), np.concatenate([ls[lone], none]), np.concatenate([ps[lone], none])
     frag = ((sh >> U(40)) * U(fragments) >> U(24)).astype(np.int64)
     order = np.lexsort((sl, frag))
     sh, sl, sp, frag = sh[order], sl[order], sp[order], frag[order]
-    edge = np.searchsorted(frag, np.arange(fragments + 1))
-    at = int(key[0] % U(fragments)) if len(key) else 0  # the settled counts travel with any one fragment
     out: dict[str, list] = {c: [] for c in ("frag", "grams", "labels", "parts", "runs", "settled", "counts")}
-    for f in range(fragments):
-        a, b = edge[f], edge[f + 1]
-        mine = f == at and len(key) > 0
-        if a == b and not mine:
-            continue
-        start = np.flatnonzero(np.r_[True, sl[a + 1 : b] != sl[a : b - 1]]) if b > a else np.zeros(0, np.int64)
+    for i, (f, a, b) in enumerate(runs_of(frag)):
+        mine = i == 0  # the settled counts travel with any one fragment; there is a witness for each
+        start = np.flatnonzero(np.r_[True, sl[a + 1 : b] != sl[a : b - 1]])
         values = (f, sh[a:b].tobytes(), sl[a:b][start].tobytes(), sp[a:b][start].tobytes(), np.diff(np.append(start, b - a)).astype(np.uint32).tobytes(), key.tobytes() if mine else b"", count.astype(np.uint32).tobytes() if mine else b"")
         for c, v in zip(out, values, strict=True):
             out[c].append(v)
@@ -134,9 +127,8 @@ def _count_shared(table: pa.Table) -> pa.Table:
     low, high = (np.minimum.reduceat(part, first), np.maximum.reduceat(part, first)) if len(first) else (part, part)
     shared = np.repeat(low != high, size) & (label != 0)
     # a class may come from several tasks
-    pair = np.stack([label[shared], h[shared]])
-    pair = np.unique(pair, axis=1) if pair.shape[1] else pair
-    labels, counts = np.concatenate([pair[0], read("settled", U)]), np.concatenate([np.ones(pair.shape[1]), read("counts", np.uint32)])
+    once = distinct_pairs(label[shared], h[shared])[0]
+    labels, counts = np.concatenate([once, read("settled", U)]), np.concatenate([np.ones(len(once)), read("counts", np.uint32)])
     key, inverse = np.unique(labels, return_inverse=True)
     return pa.table({"label": key.astype(np.int64), "shared": np.bincount(inverse, counts, len(key)).astype(np.int64)})
 
@@ -165,7 +157,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 75, extr
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text"):
                 h, size, label = document_sets(part["text"], n)
                 row = np.repeat(np.arange(len(size)), size)
                 place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
