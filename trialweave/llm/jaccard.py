@@ -115,7 +115,7 @@ def _spread(h: np.ndarray, row: np.ndarray, label: np.ndarray, part: np.ndarray,
 _SPREAD_SCHEMA = "frag int, grams binary, labels binary, parts binary, runs binary, settled binary, counts binary"
 
 
-def _count_shared(table: pa.Table) -> pa.Table:
+def _count_shared(table: pa.Table, buckets: int) -> pa.Table:
     """Per label, the n-grams of this fragment that another part has too."""
     read = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
     h, runs = read("grams", U), read("runs", np.uint32)
@@ -129,13 +129,38 @@ def _count_shared(table: pa.Table) -> pa.Table:
     # a class may come from several tasks
     once = distinct_pairs(label[shared], h[shared])[0]
     labels, counts = np.concatenate([once, read("settled", U)]), np.concatenate([np.ones(len(once)), read("counts", np.uint32)])
+    return _packed(*_summed(labels, counts), buckets)
+
+
+def _summed(labels: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key, inverse = np.unique(labels, return_inverse=True)
-    return pa.table({"label": key.astype(np.int64), "shared": np.bincount(inverse, counts, len(key)).astype(np.int64)})
+    return key, np.bincount(inverse, counts, len(key)).astype(np.uint32)
+
+
+def _packed(labels: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
+    """Labels and counts of each bucket of labels, in a row a bucket."""
+    bucket = (labels % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rows = [(k, labels[order[a:b]].tobytes(), counts[order[a:b]].tobytes()) for k, a, b in runs_of(bucket[order])]
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "labels": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _shared_counts(spread: DataFrame, fragments: int) -> DataFrame:
+    """(label, shared): the sums of the fragments' partial counts, packed by bucket of labels on the way.
+
+    A class that several tasks settle is counted once a task, which can only keep it.
+    """
+
+    def count(table: pa.Table) -> pa.Table:
+        return _count_shared(table, fragments)
 
+    def total(table: pa.Table) -> pa.Table:
+        read = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
+        labels, counts = _summed(read("labels", U), read("counts", np.uint32))
+        return pa.table({"label": labels.astype(np.int64), "shared": counts.astype(np.int64)})
 
-def _shared_counts(spread: DataFrame) -> DataFrame:
-    """Sums the fragments' counts. A class that several tasks settle is counted once a task, which can only keep it."""
-    return spread.groupBy("frag").applyInArrow(_count_shared, "label long, shared long").groupBy("label").agg(F.sum("shared").alias("shared"))
+    partial = spread.groupBy("frag").applyInArrow(count, "bucket int, labels binary, counts binary")
+    return partial.groupBy("bucket").applyInArrow(total, "label long, shared long")
 
 
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 75, extra: int = 9) -> DataFrame:
@@ -164,7 +189,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 75, extr
                 keep = place < (size - _need(size, percent) + _extra(size, extra))[row]
                 yield _spread(h[keep], row[keep], label, label, fragments)
 
-    counts = _shared_counts(documents.mapInArrow(prefixes, _SPREAD_SCHEMA))
+    counts = _shared_counts(documents.mapInArrow(prefixes, _SPREAD_SCHEMA), fragments)
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) * extra / 100))
     left = scratch.keep(classes.join(counts, "label").filter(F.col("shared") >= least).select("label", "rep", "n"), "left")
     sets = scratch.keep(_sets(documents, left, n), "sets")
@@ -247,7 +272,7 @@ def _complete(sets: DataFrame, parts: DataFrame, percent: int, scratch: Scratch)
                 yield _spread(h, np.repeat(np.arange(len(size)), size), part["cls"].to_numpy().view(U), part["part"].to_numpy().view(U), fragments)
 
     labelled = sets.join(parts, "cls")
-    counts = _shared_counts(labelled.select("cls", "part", "n", "grams").mapInArrow(spread, _SPREAD_SCHEMA))
+    counts = _shared_counts(labelled.select("cls", "part", "n", "grams").mapInArrow(spread, _SPREAD_SCHEMA), fragments)
     open_ = labelled.join(counts, F.col("cls") == F.col("label")).filter(F.col("shared") * 100 >= F.col("n") * percent)
     open_ = scratch.keep(open_.select("cls", "part", "n", "sketch", F.flatten("grams").alias("grams")), "open")
     each = open_.select("cls", "part", "n", F.explode("grams").alias("gram"))
