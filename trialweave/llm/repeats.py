@@ -187,7 +187,8 @@ def _sequence(t: Tokens) -> np.ndarray:
 
 
 def _repeat_rows(candidates: DataFrame, groups: _Groups, window: int) -> DataFrame:
-    """(doc_id, sequence, starts): windows that a smaller document has."""
+    """(doc_id, sequence, starts): windows that a smaller document has; subtrees send them packed by bucket of documents."""
+    buckets = int(groups.group[-1]) + 1 if len(groups.group) else 1
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t, at in _suffixes(batches, window):
@@ -208,7 +209,7 @@ def _repeat_rows(candidates: DataFrame, groups: _Groups, window: int) -> DataFra
                 yield _blob(g, leaf[s], ids[doc[s]], seq[doc[s]], place[s], False)
             if len(known):
                 known = known[np.lexsort((place[known], doc[known]))]
-                g = int(mix(seq[doc[known[:1]]])[0] % U(max(1, groups.group[-1] + 1 if len(groups.group) else 1)))
+                g = int(mix(seq[doc[known[:1]]])[0] % U(buckets))
                 yield _blob(g, leaf[known], ids[doc[known]], seq[doc[known]], place[known], True)
 
     def subtree(table: pa.Table) -> pa.Table:
@@ -223,14 +224,24 @@ def _repeat_rows(candidates: DataFrame, groups: _Groups, window: int) -> DataFra
         first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
         least = np.repeat(doc[order][first], np.diff(np.append(first, len(node))))
         hit = np.concatenate([order[doc[order] > least], np.flatnonzero(done)])
-        hit = hit[np.lexsort((place[hit], seq[hit], doc[hit]))]
-        d, s = doc[hit], seq[hit]
-        new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])]) if len(hit) else np.zeros(0, np.int64)
-        starts = pa.ListArray.from_arrays(np.append(new, len(hit)).astype(np.int32), pa.array(place[hit].astype(np.int32)))
+        bucket = (mix(doc[hit].astype(U)) % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        hit = hit[order]
+        rows = [(k, *(x[hit[a:b]].tobytes() for x in (doc, seq, place))) for k, a, b in runs_of(bucket[order])]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("doc", "seq", "place"), 1)}})
+
+    def merge(table: pa.Table) -> pa.Table:
+        read = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
+        d, s, place = read("doc", np.int64), read("seq", U), read("place", np.uint32)
+        order = np.lexsort((place, s, d))
+        d, s, place = d[order], s[order], place[order]
+        new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])]) if len(d) else np.zeros(0, np.int64)
+        starts = pa.ListArray.from_arrays(np.append(new, len(d)).astype(np.int32), pa.array(place.astype(np.int32)))
         return pa.table({"doc_id": d[new], "sequence": s[new].astype(np.int64), "starts": starts})
 
     rows = candidates.mapInArrow(spread, "grp int, leaf binary, doc binary, seq binary, place binary, done boolean")
-    return rows.groupBy("grp").applyInArrow(subtree, "doc_id long, sequence long, starts array<int>")
+    leaves = rows.groupBy("grp").applyInArrow(subtree, "bucket int, doc binary, seq binary, place binary")
+    return leaves.groupBy("bucket").applyInArrow(merge, "doc_id long, sequence long, starts array<int>")
 
 
 def _blob(group: int, leaf: np.ndarray, doc: np.ndarray, seq: np.ndarray, place: np.ndarray, done: bool) -> pa.RecordBatch:
@@ -267,8 +278,7 @@ def remove_repeats(documents: DataFrame, window: int = 50, group_rows: int = 500
     some = keyed.select("_id", "doc_id", "text").join(bounded(anchors.select("_id")), "_id", "left_semi")
     candidates = scratch.keep(some.join(anchors, "_id").select("doc_id", "text", "anchors"), "candidates")
     groups = _partition(candidates, window, group_rows)
-    found = _repeat_rows(candidates, groups, window).groupBy(F.col("doc_id").alias("_id"), "sequence").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    found = found.groupBy("_id").agg(F.collect_list(F.struct("sequence", "starts")).alias("_repeats"))
+    found = _repeat_rows(candidates, groups, window).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("sequence", "starts")).alias("_repeats"))
     found = scratch.keep(found, "repeats")
     scratch.drop("candidates", "anchors")
     small = is_small(found, _IDS)
