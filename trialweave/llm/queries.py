@@ -15,12 +15,17 @@ from .mixing import mix_sources
 from .quality import fit_quality, score_quality
 from .repeats import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
+from .warc import archive_pages
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
@@ -69,6 +74,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_toxicity, op4_quality_rules, op5_license_scan, op6_decontaminate, op7_html_text, op8_ngram_jaccard, op9_chat_format, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_toxicity, op4_quality_rules, op5_license_scan, op6_decontaminate, op7_html_text, op8_ngram_jaccard, op9_chat_format, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
