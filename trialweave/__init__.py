@@ -1,0 +1 @@
+"""Patient-to-trial matching analytics as Spark dataflow."""
