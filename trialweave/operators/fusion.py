@@ -36,7 +36,7 @@ def rrf_channels(hits: DataFrame, keys: list, k: int = 60, size: int | None = No
         F.min(F.struct("channel_idx", "rank")).alias("first"),
         F.sort_array(F.collect_list(F.struct("channel_idx", "kind", "rank", F.col("score").alias("channel_score"), "weight"))).alias("channels"),
     )
-    order = [F.col("score").desc(), F.col("first.channel_idx"), F.col("first.rank"), F.col("nct_id")]
+    order = [F.round("score", 12).desc(), F.col("first.channel_idx"), F.col("first.rank"), F.col("nct_id")]
     return ranked(fused, keys or [F.lit(1)], order, size).drop("first")
 
 

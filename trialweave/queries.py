@@ -357,7 +357,19 @@ def bm25_search(spark, d):
     return retrieval.bm25_search(index, queries, ["item_id"], "doc_id", 20).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), _r("bm25").alias("bm25"))
 
 
-@query()
+_PLAN_SQL = """with tk as (select doc_id, regexp_extract_all(replace(lower(text),'ß','ss'),'[a-z0-9]+') as t from documents), dl as (select doc_id, len(t) as dl, len(list_distinct(t)) as nd, array_to_string(t,' ') as norm from tk), st as (select count(*)::double as n, avg(dl) as avgdl from dl),
+p as (select term, doc_id, count(*) as tf from (select doc_id, unnest(t) as term from tk) group by 1,2), df as (select term, count(*) as df from p group by 1),
+ch as (select item_id, 0 as c, 1.0 as w, regexp_extract_all(replace(lower(text),'ß','ss'),'[a-z0-9]+') as q from benchmark union all select item_id, 1, 0.35, regexp_extract_all(replace(lower(string_split(text,'.')[1]),'ß','ss'),'[a-z0-9]+') from benchmark),
+qt as (select distinct item_id, c, unnest(q) as term from ch),
+s as (select item_id, c, doc_id, sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*dl/avgdl))) as bm25, count(*)::double as m from qt join p using (term) join df using (term) join dl using (doc_id), st group by 1,2,3),
+k as (select *, row_number() over (partition by item_id, c order by round(bm25,9) desc, doc_id) as rk from s), x as (select k.*, w, len(list_distinct(q))::double as nq, nd::double as nd, norm, array_to_string(q,' ') as asked, min(bm25) over v as lo, max(bm25) over v as hi from k join ch using (item_id, c) join dl using (doc_id) where rk<=1000 window v as (partition by k.item_id, k.c)),
+l as (select *, case when norm=asked then 1.0 when contains(' '||norm||' ',' '||asked||' ') then 0.95 else least(1.0, 0.75*m/nq+0.25*m/(nq+nd-m)) end as lex, case when hi>lo then (bm25-lo)/(hi-lo) else 1.0 end as sc from x),
+r as (select *, row_number() over (partition by item_id, c order by round(greatest(0,least(1,0.6*sc+0.4*lex))::double,9) desc, doc_id) as rnk from l where 0.6*sc+0.4*lex>0),
+f as (select item_id, doc_id, sum((w/(60.0+rnk))::double) as score, min(c*1000000+rnk) as fst from r where rnk<=600 group by 1,2), o as (select *, row_number() over (partition by item_id order by round(score,12) desc, fst, doc_id) as rk from f)
+select item_id as patient_id, doc_id as nct_id, rk as rank, round(score,6) as score from o where rk<=1000"""
+
+
+@query(_PLAN_SQL)
 def search_trials_with_plan(spark, d):
     """Every benchmark item as a patient with two channels: its whole text and its first sentence."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("nct_id"), F.col("text").alias("search_text"))
