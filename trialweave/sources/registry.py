@@ -126,6 +126,10 @@ def normalize_studies(studies: DataFrame) -> DataFrame:
     return rows.withColumn("source_hash", F.sha2(F.to_json(F.struct(*sorted(content))).cast("binary"), 256))
 
 
+def _filled(names: list[str]) -> Callable:
+    return lambda x: F.struct(*[F.coalesce(x[n], F.lit("")).alias(n) for n in names])
+
+
 def prepare_trials(trials: DataFrame) -> DataFrame:
     """Typed trial rows: ages in years (0 and 999 where unknown), ISO dates, texts without null, lists with at least one element."""
     texts = [c for c in ("brief_title", "official_title", "brief_summary", "detailed_description", "eligibility_criteria", "overall_status", "phase", "study_type", "gender", "source", "source_url", "last_update_posted") if c in trials.columns]
@@ -135,7 +139,7 @@ def prepare_trials(trials: DataFrame) -> DataFrame:
     for c in ("intervention", "location", "reference"):
         names = [f.name for f in trials.schema[c].dataType.elementType.fields]
         blank = F.array(F.struct(*[F.lit("").alias(n) for n in names]))
-        filled = F.transform(c, lambda x, names=names: F.struct(*[F.coalesce(x[n], F.lit("")).alias(n) for n in names]))
+        filled = F.transform(c, _filled(names))
         out = out.withColumn(c, F.when(F.coalesce(F.size(c), F.lit(0)) > 0, filled).otherwise(blank))
     return out
 
