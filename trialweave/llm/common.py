@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Words are runs of anything but space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast only below this many rows, counted first; beyond it Spark shuffles both.
 BROADCAST_ROWS = 20_000
 
 _own_dir: list[str] = []
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once per application, wherever the driver imported it from."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="trialweave-"), "trialweave.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share, as a full URI: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return re.sub(r"^file:/(?!//)", "file:///", full).rstrip("/")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="trialweave-"))
     return _own_dir[0]

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, is_small
 from .graph import components
-from .tokens import U, chunks, distinct_pairs, gram_docs, grams, mix, runs_of, tokenize
+from .tokens import U, chunks, distinct_pairs, gram_docs, grams, mix, release, runs_of, tokenize
 
 #: Words of the parity sketch, min-hashes, and fragments in which overlaps of pairs are counted.
 _SKETCH, _MINHASHES, _PARTS = 16, 3, 4
@@ -152,6 +152,7 @@ def _shared_counts(spread: DataFrame, fragments: int) -> DataFrame:
     """
 
     def count(table: pa.Table) -> pa.Table:
+        release()
         return _count_shared(table, fragments)
 
     def total(table: pa.Table) -> pa.Table:
@@ -197,6 +198,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 75, extr
     parts = _complete(sets, parts, percent, scratch)
     named = classes.join(parts, classes.label == parts.cls, "left").select("label", "rep", F.coalesce("part", "label").alias("part"))
     named = scratch.keep(named, "named")
+    scratch.drop("classes", "left", "sets", "open", "prefixes", "mixed", *(f"{a}-{b}" for a in ("pairs", "links", "parts") for b in ("fold", "centres", "all")))
     ids = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     named = named.join(ids, "part").select("label", "component_id")
     return info.join(named, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

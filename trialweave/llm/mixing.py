@@ -79,22 +79,23 @@ def _order(seed: int) -> Column:
 
 
 def _taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Adds source_size, target, copies and taken to rows that have source, size and _at."""
-    cuts = cuts.select(F.col("source").alias("_source"), "source_size", "target", "_whole", "_cut")
-    out = joined(rows.drop("source_size", "target", "copies", "taken"), cuts, F.col("source").eqNullSafe(F.col("_source")))
-    copies = F.col("_whole") + (F.col("_at") < F.col("_cut")).cast("int")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_source", "_whole", "_cut", "_at")
+    """Adds source_size, target, copies and taken to rows that have source, size and __tw_at."""
+    cuts = cuts.select(F.col("source").alias("__tw_source"), "source_size", "target", F.col("_whole").alias("__tw_whole"), F.col("_cut").alias("__tw_cut"))
+    out = joined(rows.drop("source_size", "target", "copies", "taken"), cuts, F.col("source").eqNullSafe(F.col("__tw_source")))
+    copies = F.col("__tw_whole") + (F.col("__tw_at") < F.col("__tw_cut")).cast("int")
+    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("__tw_source", "__tw_whole", "__tw_cut", "__tw_at")
 
 
 def mix_sources(documents: DataFrame, **options) -> DataFrame:
     """Each row's doc_id, source, size, source_size, target, copies and taken."""
-    return _taken(*mix_plan(documents, **options))
+    sized, cuts = mix_plan(documents, **options)
+    return _taken(sized.withColumnRenamed("_at", "__tw_at"), cuts)
 
 
 def apply_mix(documents: DataFrame, seed: int = 17, **options) -> DataFrame:
     """The rows that the mix takes, with all their columns and size, source_size, target, copies and taken."""
     _, cuts = mix_plan(documents, seed=seed, **options)
-    rows = documents.withColumn("size", _size()).withColumn("_at", _order(seed))
+    rows = documents.withColumn("size", _size()).withColumn("__tw_at", _order(seed))
     return _taken(rows, cuts).filter("copies > 0")
 
 

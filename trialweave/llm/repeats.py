@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, is_small
-from .tokens import U, Tokens, chunks, distinct_pairs, grams, mix, runs_of, tokenize
+from .tokens import U, Tokens, chunks, distinct_pairs, grams, mix, release, runs_of, tokenize
 
 _NULL = 2**63 - 1
 _SLOT_BITS = 12
@@ -213,6 +213,7 @@ def _repeat_rows(candidates: DataFrame, groups: _Groups, window: int) -> DataFra
                 yield _blob(g, leaf[known], ids[doc[known]], seq[doc[known]], place[known], True)
 
     def subtree(table: pa.Table) -> pa.Table:
+        release()
         done = np.array(table["done"].to_pylist(), bool)
         size = np.array([len(x) // 8 for x in table["leaf"].to_pylist()], np.int64)
         done = np.repeat(done, size)
@@ -231,6 +232,7 @@ def _repeat_rows(candidates: DataFrame, groups: _Groups, window: int) -> DataFra
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("doc", "seq", "place"), 1)}})
 
     def merge(table: pa.Table) -> pa.Table:
+        release()
         read = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
         d, s, place = read("doc", np.int64), read("seq", U), read("place", np.uint32)
         order = np.lexsort((place, s, d))
@@ -269,27 +271,27 @@ def remove_repeats(documents: DataFrame, window: int = 50, group_rows: int = 500
     base = documents.select("doc_id", "text")
     n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(1, -(-n_bytes // 80 // _FRAGMENT))  # an anchor in 80 bytes or fewer
-    anchors = shared_anchors(base, window, scratch, fragments).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("anchor").alias("anchors"))
+    anchors = shared_anchors(base, window, scratch, fragments).groupBy(F.col("doc_id").alias("__tw_id")).agg(F.collect_list("anchor").alias("anchors"))
     anchors = scratch.keep(anchors, "anchors")
     small = is_small(anchors, _IDS)
     bounded = lambda df: F.broadcast(df) if small else df
     rest = [c for c in documents.columns if c not in ("n_words", "n_removed")]
-    keyed = documents.select(*[f"`{c}`" for c in rest], F.coalesce("doc_id", F.lit(_NULL)).alias("_id"))
-    some = keyed.select("_id", "doc_id", "text").join(bounded(anchors.select("_id")), "_id", "left_semi")
-    candidates = scratch.keep(some.join(anchors, "_id").select("doc_id", "text", "anchors"), "candidates")
+    keyed = documents.select(*[f"`{c}`" for c in rest], F.coalesce("doc_id", F.lit(_NULL)).alias("__tw_id"))
+    some = keyed.select("__tw_id", "doc_id", "text").join(bounded(anchors.select("__tw_id")), "__tw_id", "left_semi")
+    candidates = scratch.keep(some.join(anchors, "__tw_id").select("doc_id", "text", "anchors"), "candidates")
     groups = _partition(candidates, window, group_rows)
-    found = _repeat_rows(candidates, groups, window).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("sequence", "starts")).alias("_repeats"))
+    found = _repeat_rows(candidates, groups, window).groupBy(F.col("doc_id").alias("__tw_id")).agg(F.collect_list(F.struct("sequence", "starts")).alias("__tw_repeats"))
     found = scratch.keep(found, "repeats")
     scratch.drop("candidates", "anchors")
     small = is_small(found, _IDS)
-    plain = keyed.join(bounded(found.select("_id")), "_id", "left_anti").withColumn("_repeats", F.lit(None).cast(found.schema["_repeats"].dataType))
-    hit = keyed.join(bounded(found.select("_id")), "_id", "left_semi").join(found, "_id")
+    plain = keyed.join(bounded(found.select("__tw_id")), "__tw_id", "left_anti").withColumn("__tw_repeats", F.lit(None).cast(found.schema["__tw_repeats"].dataType))
+    hit = keyed.join(bounded(found.select("__tw_id")), "__tw_id", "left_semi").join(found, "__tw_id")
     schema = documents.select(*[f"`{c}`" for c in rest]).schema.add("n_words", "long").add("n_removed", "long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                repeats = part["_repeats"]
+                repeats = part["__tw_repeats"]
                 texts = part["text"]
                 removed = np.zeros(part.num_rows, np.int64)
                 if repeats.null_count < part.num_rows:
@@ -306,5 +308,5 @@ def remove_repeats(documents: DataFrame, window: int = 50, group_rows: int = 500
                 columns = [texts if c == "text" else part[c] for c in rest]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words.astype(np.int64)), pa.array(removed)], [f.name for f in schema])
 
-    columns = [*rest, "_repeats"]
+    columns = [*rest, "__tw_repeats"]
     return plain.select(*[f"`{c}`" for c in columns]).unionByName(hit.select(*[f"`{c}`" for c in columns])).mapInArrow(cut, schema)

@@ -12,6 +12,7 @@ a pair, which is the only way a result of these operators could differ from a co
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 U = np.uint64
 _BLOCK = 1 << 20
 #: Text bytes that one call of :func:`tokenize` should get, unless a single text is longer.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -94,10 +95,30 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - lo
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library, which need not be told
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system. A Python worker lives on beside the executor's other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` text bytes each; a longer text comes alone."""
     if not batch.num_rows:
         return
+    try:
+        yield from _slices(batch, column, limit)
+    finally:
+        release()
+
+
+def _slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     _, offsets = text_bytes(batch.column(column))
     at = 0
     while at < batch.num_rows:
