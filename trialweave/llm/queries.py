@@ -23,7 +23,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(table(spark, sf_dir, "pages"))
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def held_out(doc_id) -> F.Column:
@@ -76,4 +76,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc, op3_toxicity, op4_quality_rules, op5_license_scan, op6_decontaminate, op7_html_text, op8_ngram_jaccard, op9_chat_format, op10_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')"
+_A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"
+_SAY = "'<|im_end|><|im_start|>assistant ok'"
+
+#: op1, op3, op4, op5, op6 and op7 depend on a seeded hash, a trained model, LSH or a parser, which SQL
+#: can't express; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """with d as (select page_id, url, sha256(coalesce(html,'')) as dg, octet_length(encode(coalesce(html,''))) as n from pages), m as (select dg, min(page_id) as f from d where n>=100 group by dg)
+select page_id, n::bigint as payload_bytes, dg as payload_digest, case when n>=100 and page_id<>f then 'revisit' else 'response' end as record_type, case when n>=100 and page_id<>f then f end as refers_to, url from d left join m using (dg)""",
+    "op8_ngram_jaccard": f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text,''),{_A_Z}), '[^\\x20\\x09-\\x0D]+') as t from documents),
+s as (select doc_id, array_to_string(list_slice(t,i,i+4),' ') as g from (select doc_id, t, unnest(range(1, greatest(2, len(t)-3))) as i from w where len(t)>0) group by 1,2),
+n as (select doc_id, count(*) as n from s group by 1), c as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g=b.g and a.doc_id<>b.doc_id group by 1,2),
+l as (select a, b from c join n x on x.doc_id=a join n y on y.doc_id=b where 100*k>=75*(x.n+y.n-k)),
+r(doc, comp) as (select doc_id, doc_id from documents union select l.b, r.comp from r join l on l.a=r.doc), m as (select doc, min(comp) as comp from r group by 1)
+select d.doc_id, coalesce(n.n,0)::bigint as n_shingles, m.comp as component_id from documents d left join n on n.doc_id=d.doc_id join m on m.doc=d.doc_id""",
+    "op9_chat_format": rf"""with c as (select conv_id, turn, coalesce(role,'') as role, coalesce(text,'') as text from conversations union all select -1, 0, 'user', {_SAY} union all select -1, 1, 'assistant', {_SAY}),
+e as (select conv_id, bool_or(regexp_matches(role||chr(10)||text, '<\\+\|') or contains(text,'<|im_start|>') or contains(text,'<|im_end|>') or contains(role,'<|im_start|>') or contains(role,'<|im_end|>') or contains(role,chr(10))) as esc from c group by 1)
+select c.conv_id, count(*)::bigint as n_turns, sha256(string_agg(role||chr(10)||text||chr(10),'' order by turn, role, text)) as turns_sha256, coalesce(sum(case when role='assistant' then length(text) end),0)::bigint as loss_chars,
+sha256(coalesce(string_agg(case when role='assistant' then text end,'' order by turn, role, text),'')) as loss_sha256, sum(24+length(role)+length(text)+case when esc then len(regexp_extract_all(text,'<\\*\|')) else 0 end)::bigint as formatted_chars, bool_or(esc) as escaped, true as round_trip from c join e on c.conv_id=e.conv_id group by c.conv_id""",
+    "op10_substring_dedup": f"""with w as (select doc_id, {_WORDS} as t from documents), p as (select doc_id, i, md5(array_to_string(list_slice(t,i,i+49),' ')) as h from (select doc_id, t, unnest(range(1,len(t)-48)) as i from w where len(t)>=50)),
+m as (select h, min(doc_id) as f from p group by 1), g as (select distinct doc_id, k from (select doc_id, unnest(range(i,i+50)) as k from p join m using (h) where doc_id>f)),
+x as (select doc_id, t[k] as word, k from (select doc_id, t, unnest(range(1,len(t)+1)) as k from w)), y as (select x.doc_id, count(*) filter (where g.k is not null) as gone, string_agg(case when g.k is null then word end,' ' order by x.k) as kept from x left join g on x.doc_id=g.doc_id and x.k=g.k group by 1)
+select w.doc_id, len(t)::bigint as n_words, coalesce(gone,0)::bigint as n_removed, sha256(coalesce(kept,'')) as kept_sha256 from w left join y on y.doc_id=w.doc_id""",
+}
