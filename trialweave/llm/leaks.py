@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from .tokens import U, chunks, gram_docs, grams, mix, tokenize
 
 _GRAM, _SAMPLED, _TABLES, _MOST_WALKS = 5, 3, 8, 16
@@ -219,6 +220,7 @@ def find_in(texts: pa.Array, items: Items, block: int = 20_000) -> list[dict[int
 def mark_leaks(documents: DataFrame, benchmark: DataFrame, max_share: float = 0.15, recall: float = 0.995, min_words: int = 5, block_items: int = 20_000) -> DataFrame:
     """``documents`` with ``leaks`` added: an array of (item_id, distance, start_word, item_words), by item_id."""
     spark = documents.sparkSession
+    ship(spark)
     rest = [f for f in documents.schema.fields if f.name != "leaks"]
     out = documents.select(*[f"`{f.name}`" for f in rest]).withColumn("leaks", F.array().cast(_LEAKS))
     schema = out.schema

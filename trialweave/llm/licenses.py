@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .tokens import U, chunks, grams, tokenize
 
 #: The phrases that name a licence, and their labels.
@@ -79,6 +80,7 @@ def vocabulary(templates=TEMPLATES) -> np.ndarray:
 
 def build_index(documents: DataFrame, common_share: float = 0.2, templates=TEMPLATES) -> Index:
     """IDF over all documents, of the templates' words only: at most a row per word from each task."""
+    ship(documents.sparkSession)
     vocab = vocabulary(templates)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +111,7 @@ def _starts(hashes: np.ndarray, owner: np.ndarray, phrase: np.ndarray) -> np.nda
 
 def scan_licenses(documents: DataFrame, index: Index, least_share: float = 0.6, slack: int = 4) -> DataFrame:
     """Each row's doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and matches (label, word, share)."""
+    ship(documents.sparkSession)
     names = [(_hashes(p), label) for p, label in PHRASES.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

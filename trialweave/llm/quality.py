@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import boosting
 from .tokens import CLASSES, U, chunks, gram_docs, hash_spans, mix, tokenize
 
@@ -117,6 +118,7 @@ def text_stats(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_quality(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, **options) -> boosting.Forest:
     """Fits the trees to ``labels.quality`` of at most ``max_labels`` rows, which is also the bound of what is broadcast and collected."""
+    ship(documents.sparkSession)
     sample = labels.filter("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labels)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +135,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, max_labels: int = 20_00
 
 def score_quality(documents: DataFrame, forest: boosting.Forest, keep_at: float = 0.5) -> DataFrame:
     """Each row's doc_id, COUNTS, base_failed, score (of quality 1) and kept."""
+    ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .tokens import U, chunks, mix, tokenize
 
 
@@ -97,8 +98,9 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, y: np.ndarr
     return w, float(b)
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, bits: int = 20, orders: tuple[int, ...] = (3, 4, 5, 6), keep: int = 4096, alpha: float = 1.0, l2: float = 1.0, steps: int = 300) -> Model:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, bits: int = 20, orders: tuple[int, ...] = (3, 4, 5, 6), keep: int = 1024, alpha: float = 1.0, l2: float = 5.0, steps: int = 300) -> Model:
     """Learns label ``toxic`` of at most ``max_labels`` rows of ``labels``."""
+    ship(documents.sparkSession)
     sample = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labels)
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
@@ -156,6 +158,7 @@ def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
 
 def score_toxicity(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """``documents`` with score and predicted added; columns of these names are replaced."""
+    ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 4 * 2**bits bytes
     rest = [f for f in documents.schema.fields if f.name not in ("score", "predicted")]
 
