@@ -160,3 +160,50 @@ def test_classification(spark):
     assert {r.position: r.update_status for r in got.collect()} == {1: "unchanged", 2: "duplicate", 3: "changed", 4: "new", 5: "changed"}
     r = upsert.update_report(got).first()
     assert (r.fetched, r.new, r.changed, r.unchanged, r.duplicate) == (4, 1, 2, 1, 1)
+
+
+def test_reasoning(spark):
+    from trialweave.operators import reasoning
+
+    answer = '<think>{</think>Sure: {"Inclusion_Criteria_Evaluation": [{"Criterion": "a {b}", "Classification": "Met", "Justification": "x"}], "Exclusion_Criteria_Evaluation": [], "Final Decision": "Eligible"} bye'
+    df = spark.createDataFrame([("p", "N1", answer), ("p", "N2", "no json"), ("p", "N3", None)], "patient_id string, nct_id string, answer string")
+    verdicts, status = reasoning.parse_answers(df)
+    assert [(r.section, r.criterion, r.classification) for r in verdicts.collect()] == [("inclusion", "a {b}", "Met")]
+    assert {r.nct_id: (r.decision, r.error is None) for r in status.collect()} == {"N1": ("Eligible", True), "N2": (None, False), "N3": (None, False)}
+    bands = ranking.eligibility_scores(verdicts, ["patient_id", "nct_id"])
+    assert {r.nct_id: r.band for r in reasoning.bands_with_errors(bands, status).collect()} == {"N1": 1.0, "N2": -1.0, "N3": -1.0}
+    assert {r.nct_id for r in reasoning.worklist(df, status).collect()} == {"N2", "N3"}
+    crit = spark.createDataFrame([("N1", 0, "inclusion", "Age 18"), ("N1", 1, "exclusion", "Smoking")], "nct_id string, ordinal int, eligibility_type string, criterion string")
+    people = spark.createDataFrame([("p", ["Has asthma."])], "patient_id string, sentences array<string>")
+    prompt = reasoning.prompts(df.select("patient_id", "nct_id").limit(1), crit, people).first().prompt
+    assert "- Age 18" in prompt and "- Smoking" in prompt and "Has asthma." in prompt
+    s = spark.createDataFrame([("p", ["a"], ["b"], ["c"])], "patient_id string, main_conditions array<string>, other_conditions array<string>, patient_narrative array<string>")
+    e = spark.createDataFrame([("p", ["x"] * 20, [], None)], "patient_id string, main_conditions array<string>, other_conditions array<string>, expanded_sentences array<string>")
+    r = reasoning.enrich(s, e).first()
+    assert len(r.main_conditions) == 11 and r.other_conditions == ["b"] and r.patient_narrative == ["c"]
+
+
+def test_matching_plan(spark):
+    from trialweave.plans import matching
+
+    trials = spark.createDataFrame([("N1", "EGFR lung cancer osimertinib", 18.0, 99.0, "All"), ("N2", "lung cancer", 70.0, 99.0, "All"), ("N3", "asthma", 0.0, 99.0, "Male")], "nct_id string, search_text string, minimum_age double, maximum_age double, gender string").withColumn("overall_status", F.lit("Recruiting"))
+    crit = spark.createDataFrame([("N1", "c1", "inclusion", "EGFR lung cancer"), ("N1", "c2", "exclusion", "prior therapy with osimertinib"), ("N3", "c3", "inclusion", "asthma")], "nct_id string, criteria_id string, eligibility_type string, criterion string")
+    people = spark.createDataFrame([("p", 60, "Female")], "patient_id string, age int, sex string")
+    rows = [("p", "conditions", 0, "EGFR lung cancer", None, False, None, [], "condition", None, None), ("p", "medications", 1, "osimertinib", "prior", False, None, [], "medication", None, None)]
+    facts = spark.createDataFrame(rows, "patient_id string, bucket string, ordinal int, label string, temporality string, negated boolean, evidence_text string, codes array<string>, kind string, value double, unit string")
+    m = matching.match(people, facts, trials, crit, context=facts)
+    assert [r.nct_id for r in m.first.orderBy("rank").collect()] == ["N1"]
+    assert [r.nct_id for r in m.shortlist.collect()] == ["N1"]
+    bands = spark.createDataFrame([("p", "N1", 1.0)], "patient_id string, nct_id string, band double")
+    assert matching.final_ranking(bands, m.second, m.first).first().rank == 1
+
+
+def test_command_line(spark, capsys, tmp_path):
+    from trialweave.__main__ import main
+
+    main(["stages", "--from", "match"])
+    assert capsys.readouterr().out.split() == ["match", "eval"]
+    (tmp_path / "q.txt").write_text("1 0 N1 2\n1 0 N2 0\n")
+    spark.createDataFrame([("1", "N1", 0.9), ("1", "N2", 0.1)], "query_id string, nct_id string, score double").write.parquet(str(tmp_path / "r"))
+    main(["eval", str(tmp_path / "r"), str(tmp_path / "q.txt")])
+    assert '"recall_10": 1.0' in capsys.readouterr().out

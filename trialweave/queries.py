@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, scores, text, vectors
-from .operators import chunking, constraints, criteria, entities, filters, fusion, linking, metrics, ranking, retrieval, upsert
-from .plans import planner
+from .operators import chunking, constraints, criteria, entities, filters, fusion, linking, metrics, ranking, reasoning, retrieval, upsert
+from .plans import matching, planner
 from .shipping import ship
 from .sources import patients as people
 from .sources import sinks
@@ -722,5 +722,82 @@ def windowed_counts(spark, d):
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query()
+def match(spark, d):
+    """The whole matching plan: conversations as patients, documents as trials, their lines as criteria."""
+    patients, facts = _conversation_patients(spark, d)
+    k = F.col("doc_id")
+    docs = _t(spark, d, "documents")
+    trials = docs.select(k.alias("nct_id"), F.col("text").alias("search_text"), F.lit(0.0).alias("minimum_age"), F.lit(999.0).alias("maximum_age"), F.lit("All").alias("gender"), F.col("lang").alias("overall_status"))
+    lines = docs.select(k.alias("nct_id"), F.posexplode(F.split("text", "\n")).alias("at", "criterion")).filter(F.length(F.trim("criterion")) >= chunking.LEAST)
+    rows = lines.select("nct_id", "criterion", F.when(F.col("at") % 2 == 0, "inclusion").otherwise("exclusion").alias("eligibility_type"), F.concat_ws("-", "nct_id", "at").alias("criteria_id"))
+    return matching.match(patients, facts, trials, rows).shortlist.select("patient_id", "nct_id", F.col("rank").cast("long").alias("rank"), F.round("fused", 9).alias("fused"))
+
+
+@query("""select event_id, (json_extract_string(props,'$.k'))::bigint as k from events""")
+def extract_json_object(spark, d):
+    noisy = F.concat(F.lit("<think>{x</think> answer: "), "props", F.lit(" done }"))
+    rows = reasoning.extract_json(_t(spark, d, "events").withColumn("a", noisy), "a")
+    return rows.select("event_id", F.get_json_object("json", "$.k").cast("bigint").alias("k"))
+
+
+@query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag<>'R')")
+def eligibility_worklist(spark, d):
+    pairs = _t(spark, d, "orders").select(F.lit(1).alias("patient_id"), F.col("o_orderkey").alias("nct_id"))
+    done = _t(spark, d, "lineitem").select(F.lit(1).alias("patient_id"), F.col("l_orderkey").alias("nct_id"), F.when(F.col("l_returnflag") == "R", "bad").alias("error"))
+    return reasoning.worklist(pairs, done).select(F.col("nct_id").alias("o_orderkey"))
+
+
+@query("select conv_id, turn, ((row_number() over (partition by conv_id order by length(text), text)-1)//3)::int as batch from conversations")
+def win_length_bucket(spark, d):
+    return reasoning.length_batches(_t(spark, d, "conversations"), "text", 3, ["conv_id"]).select("conv_id", "turn", "batch")
+
+
+@query("select conv_id, turn, case when role='user' then 'Met' when role='assistant' then 'not met' else 'violated' end as x, lower(case when role='user' then 'Met' when role='assistant' then 'not met' else 'violated' end) as verdict, case when role='user' then 'yes' else role end as answer from conversations")
+def normalise_verdicts(spark, d):
+    plain = F.when(F.col("role") == "user", "Met").when(F.col("role") == "assistant", "not met").otherwise("violated")
+    said = F.when(F.col("role") == "user", "<think>so so</think> yes").otherwise(F.concat("role", F.lit("<think>still open")))
+    return _t(spark, d, "conversations").select("conv_id", "turn", plain.alias("x"), text.norm_classification(F.concat(F.lit(" **"), plain, F.lit("**."))).alias("verdict"), text.strip_thinking(said).alias("answer"))
+
+
+@query("""select c_custkey, case when c_custkey%4=3 then null else (c_custkey%90)+1 end::int as age, case when c_custkey%4=3 then null when c_custkey%2=0 then 'Female' else 'Male' end as gender from customer""")
+def demographics_from_text(spark, d):
+    k, n = F.col("c_custkey"), (F.col("c_custkey") % 90 + 1).cast("string")
+    who = F.when(k % 2 == 0, "woman").otherwise("man")
+    said = F.when(k % 4 == 0, F.concat(F.lit("A "), n, F.lit("-year-old "), who)).when(k % 4 == 3, F.lit("No details.")).when(k % 4 == 1, F.concat(F.lit("This "), who, F.lit(", aged "), n)).otherwise(F.concat(n, F.lit(" yo "), who, F.lit(" and her son, a boy")))
+    got = _t(spark, d, "customer").select("c_custkey", text.demographics_from_text(said).alias("g"))
+    return got.select("c_custkey", "g.age", "g.gender")
+
+
+@query("""select p_partkey, case when p_size%3=0 then 'cancer|malignant neoplasm|solid tumor' when p_size%3=1 then 'hematologic malignancy|blood cancer' else '' end as broader, case when p_size%2=0 then 'EGFR|PD-L1' else '' end as genes, case when p_size%2=0 then p_name||'|prior '||p_name else p_name end as therapy from part""")
+def planner_terms(spark, d):
+    size = F.col("p_size")
+    disease = F.when(size % 3 == 0, "Breast carcinoma").when(size % 3 == 1, "Lymphoma").otherwise("asthma")
+    rows = _t(spark, d, "part")
+    return rows.select("p_partkey", F.array_join(text.broader_terms(F.array(disease, "p_name")), "|").alias("broader"), F.array_join(text.biomarker_terms(F.when(size % 2 == 0, "egfr mutated, PD-L1 and EGFR").otherwise("begfrs")), "|").alias("genes"), F.array_join(text.therapy_terms("p_name", F.when(size % 2 == 0, "Prior therapy")), "|").alias("therapy"))
+
+
+@query("""select c_custkey, case c_custkey%4 when 0 then (c_custkey%120)::int when 1 then (c_custkey%120)::int when 2 then null else (2024-(1950+c_custkey%50))::int end as age from customer""")
+def parse_age_input(spark, d):
+    k = F.col("c_custkey")
+    n = (k % 120).cast("string")
+    value = F.when(k % 4 == 0, n).when(k % 4 == 1, F.concat(n, F.lit(" years old"))).when(k % 4 == 2, "unknown").otherwise(F.concat(1950 + k % 50, F.lit("-01-01")))
+    return _t(spark, d, "customer").select("c_custkey", dates.parse_age_input(value, F.lit("2024-06-01").cast("date")).alias("age"))
+
+
+@query("""select l_suppkey as patient_id, l_partkey as nct_id, count(*) as n from lineitem where l_partkey in (select l_partkey from lineitem l2 where l2.l_suppkey=lineitem.l_suppkey and l2.l_returnflag='A') group by 1,2""")
+def join_criteria_scope(spark, d):
+    li = _t(spark, d, "lineitem")
+    short = li.filter("l_returnflag = 'A'").select(F.col("l_suppkey").alias("patient_id"), F.col("l_partkey").alias("nct_id"))
+    rows = criteria.scope(li.select(F.col("l_partkey").alias("nct_id"), F.col("l_suppkey").alias("s")), short)
+    return rows.filter("s = patient_id").groupBy("patient_id", "nct_id").agg(F.count("*").alias("n"))
+
+
+@query("""select doc_id, sha256(trim(regexp_replace(concat_ws(' ',source,text,lang),'\s+',' ','g'))) as digest from documents""")
+def build_trial_record(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.col("source").alias("condition"), F.col("text").alias("eligibility_criteria"), F.col("lang").alias("brief_title"))
+    return sinks.trial_records(rows).select("doc_id", F.sha2(F.col("search_text").cast("binary"), 256).alias("digest"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return search_trials_with_plan(spark, d)
