@@ -146,3 +146,23 @@ def test_sinks(spark, tmp_path):
     t = spark.createDataFrame([("N", "c", [1.0, 3.0], [3.0])], "nct_id string, condition string, condition_vector array<double>, brief_title_vector array<double>")
     r = sinks.trial_records(t).first()
     assert r.search_text == "c" and r.search_vector == [2.0]
+
+
+def test_data_source(spark, tmp_path):
+    from trialweave.sources import datasource
+
+    other = json.loads(json.dumps(STUDY).replace("NCT1", "NCT2"))
+    (tmp_path / "pages.jsonl").write_text(json.dumps({"studies": [STUDY], "nextPageToken": "t"}) + "\n" + json.dumps({"studies": [other]}) + "\n")
+    datasource.register(spark)
+    rows = spark.read.format("registry").option("path", str(tmp_path / "pages.jsonl")).load()
+    assert sorted(r.nct_id for r in rows.collect()) == ["NCT1", "NCT2"]
+    assert registry.normalize_studies(datasource.parsed(rows)).count() == 2
+    q = spark.readStream.format("registry").option("path", str(tmp_path / "pages.jsonl")).load().writeStream.format("memory").queryName("studies").option("checkpointLocation", str(tmp_path / "cp")).start()
+    import time
+
+    for _ in range(60):
+        time.sleep(0.5)
+        if spark.table("studies").count() >= 2:
+            break
+    q.stop()
+    assert sorted(r.nct_id for r in spark.table("studies").collect()) == ["NCT1", "NCT2"]
