@@ -39,24 +39,32 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive a lost executor.
 
-    ``keep`` writes a frame and returns the reader of it; ``drop`` deletes what no later step reads.
+    ``keep`` writes a frame and returns the reader of it; ``drop`` deletes what no later step reads. What is
+    left goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         ship(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+        files, path = self._at(self.path)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _at(self, path: str):
+        """A file system and a path of it, in the driver's JVM."""
+        context = self.spark.sparkContext
+        found = context._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(context._jsc.hadoopConfiguration()), found
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            files, path = self._at(f"{self.path}/{name}")
+            files.delete(path, True)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
