@@ -19,8 +19,19 @@ BROADCAST_ROWS = 20_000
 _own_dir: list[str] = []
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Session setting for the bytes of an Arrow batch, its default, and ours: texts are worked on in smaller blocks anyway.
+_BATCH, _DEFAULT, _OURS = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB"), "8m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package and, unless the session has a size of its own, keeps Arrow batches of texts small."""
     ship(spark)
+    if spark.conf.get(_BATCH) in _DEFAULT:
+        spark.conf.set(_BATCH, _OURS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,7 +55,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, what: str):
-        ship(spark)
+        prepare(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
         files, path = self._at(self.path)
