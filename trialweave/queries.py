@@ -793,7 +793,7 @@ def join_criteria_scope(spark, d):
     return rows.filter("s = patient_id").groupBy("patient_id", "nct_id").agg(F.count("*").alias("n"))
 
 
-@query("""select doc_id, sha256(trim(regexp_replace(concat_ws(' ',source,text,lang),'\s+',' ','g'))) as digest from documents""")
+@query("select doc_id, sha256(trim(regexp_replace(concat_ws(' ',source,text,lang),'\\s+',' ','g'))) as digest from documents")
 def build_trial_record(spark, d):
     rows = _t(spark, d, "documents").select("doc_id", F.col("source").alias("condition"), F.col("text").alias("eligibility_criteria"), F.col("lang").alias("brief_title"))
     return sinks.trial_records(rows).select("doc_id", F.sha2(F.col("search_text").cast("binary"), 256).alias("digest"))
