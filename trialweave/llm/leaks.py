@@ -12,9 +12,13 @@ words of it by edit distance (insert, delete, replace a word). Words are runs of
    Strings few edits apart come out a small Hamming distance apart. Items go the same walks.
 3. *LSH.* Each table hashes a few sampled places of the walk; windows and items of one size that agree in any
    table are candidates. Walks are repeated with new randomness until items that carry the largest allowed
-   number of random edits are found with at least the target recall, which is measured on the items when the index is built.
+   number of random edits are found with at least the target recall, which is measured for each item size when the index is built.
 4. *Verification.* Exact edit distance of the item to the best-fitting run around each candidate window.
 
+Where ``_MOST_WALKS`` walks don't reach the target, and for items of more than ``_LSH_WORDS`` words, steps 2 and 3 are left
+out and verification follows step 1, which is complete: k edits spoil at most k * q of an item's q-grams, and
+those that stay have aligned places within k words of each other, so only places with that many are verified.
+
 Items with fewer than ``min_words`` words can't tell a leak from chance and are left out. Items are read in
 blocks of ``block_items``, a pass over the documents each, so what is broadcast is bounded at any size of the benchmark.
 Null and empty texts have no leaks; repeated items are all reported; extra columns pass through; an empty
@@ -35,7 +39,9 @@ from pyspark.sql import types as T
 from ..shipping import ship
 from .tokens import U, chunks, gram_docs, grams, mix, tokenize
 
-_GRAM, _SAMPLED, _TABLES, _MOST_WALKS = 5, 3, 8, 16
+_GRAM, _SAMPLED, _TABLES, _MOST_WALKS, _LSH_WORDS = 5, 3, 8, 16, 64
+#: Cells of a row of edit distances that are worked on at once.
+_CELLS = 1 << 20
 _LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.LongType()), T.StructField("start_word", T.LongType()), T.StructField("item_words", T.LongType())]))
 
 
@@ -48,7 +54,7 @@ class Items(NamedTuple):
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length: sorted hashes, item, offset
     seen: dict[int, np.ndarray]  # length: a bitmap of the hashes' leading bits
     tables: dict[int, tuple[np.ndarray, np.ndarray]]  # size: sorted keys, item
-    walks: int
+    walks: dict[int, int]  # by size; 0 where windows go to verification without LSH
 
 
 def walk(windows: np.ndarray, seed: int) -> np.ndarray:
@@ -93,21 +99,20 @@ def _perturb(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndar
     return np.array(out[: len(words)], U)
 
 
-def walks_for(words: list[np.ndarray], edits: np.ndarray, recall: float, samples: int = 300) -> int:
-    """Walks after which windows with the most allowed edits are found with the target recall."""
+def walks_for(words: list[np.ndarray], edits: int, recall: float, samples: int = 300) -> int:
+    """Walks after which windows with so many edits of items of one size are found with the target recall; 0 if none are enough."""
+    if len(words[0]) > _LSH_WORDS:
+        return 0
     rng = np.random.default_rng(5)
     pick = rng.integers(len(words), size=samples)
-    found = np.zeros((samples, _MOST_WALKS), bool)
-    by_size: dict[int, list[int]] = {}
-    for s, i in enumerate(pick):
-        by_size.setdefault(len(words[i]), []).append(s)
-    for _, group in sorted(by_size.items()):
-        a = np.stack([words[pick[s]] for s in group])
-        b = np.stack([_perturb(words[pick[s]], int(edits[pick[s]]), rng) for s in group])
-        same = table_keys(a, range(_MOST_WALKS)) == table_keys(b, range(_MOST_WALKS))
-        found[group] = same.reshape(len(group), _MOST_WALKS, _TABLES).any(2)
-    reached = np.flatnonzero(np.logical_or.accumulate(found, 1).mean(0) >= recall)
-    return int(reached[0]) + 1 if len(reached) else _MOST_WALKS
+    a = np.stack([words[i] for i in pick])
+    b = np.stack([_perturb(words[i], edits, rng) for i in pick])
+    found = np.zeros(samples, bool)
+    for w in range(_MOST_WALKS):
+        found |= (table_keys(a, range(w, w + 1)) == table_keys(b, range(w, w + 1))).any(1)
+        if found.mean() >= recall:
+            return w + 1
+    return 0
 
 
 def build_items(ids: list, texts: list, max_share: float, recall: float, min_words: int) -> Items:
@@ -128,11 +133,17 @@ def build_items(ids: list, texts: list, max_share: float, recall: float, min_wor
         bits = max(10, int(np.ceil(np.log2(16 * len(h)))))
         seen[q] = np.zeros(1 << bits, bool)
         seen[q][(h >> U(64 - bits)).astype(np.int64)] = True
-    walks = walks_for(words, edits, recall) if words else 0
+    by_size: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by_size.setdefault(len(w), []).append(i)
+    walks: dict[int, int] = {}
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for size in {len(w) for w in words}:
-        mine = np.array([i for i, w in enumerate(words) if len(w) == size])
-        keys = table_keys(np.stack([words[i] for i in mine]), range(walks))
+    for size, these in by_size.items():
+        mine = np.array(these)
+        walks[size] = walks_for([words[i] for i in these], int(edits[these[0]]), recall)
+        if not walks[size]:
+            continue
+        keys = table_keys(np.stack([words[i] for i in mine]), range(walks[size]))
         item = np.repeat(mine, keys.shape[1])
         order = np.argsort(keys.ravel(), kind="stable")
         tables[size] = (keys.ravel()[order], item[order])
@@ -146,9 +157,25 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + lo[of]
 
 
-def _windows(t, items: Items) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By item size: texts and first words of the windows that may hold a leak."""
+def _dense(t, doc: np.ndarray, who: np.ndarray, start: np.ndarray, q: int, items: Items) -> np.ndarray:
+    """Texts, items and stretches of k + 1 places that may hold a leak, as rows, from the places that shared q-grams align to."""
+    if not len(doc):
+        return np.zeros((3, 0), np.int64)
+    order = np.lexsort((start, who, doc))
+    doc, who, start = doc[order], who[order], start[order]
+    k = items.edits[who]
+    size = np.array([len(w) for w in items.words], np.int64)[who]
+    pair = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (who[1:] != who[:-1])])
+    line = pair * int(start.max() - start.min() + k.max() + 1) + start - start.min()
+    enough = np.searchsorted(line, line + k, "right") - np.arange(len(line)) >= size - q + 1 - k * q
+    return np.unique(np.stack([doc, who, (start - t.doc[doc]) // (k + 1)])[:, enough], axis=1)
+
+
+def _windows(t, items: Items) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """By item size: texts and first words of the windows that may hold a leak; and what goes to verification without LSH."""
     found: dict[int, list] = {}
+    sure = [np.zeros((3, 0), np.int64)]
+    exact = np.array([not items.walks[len(w)] for w in items.words], bool)
     size_of = np.array([len(w) for w in items.words], np.int64)
     for q, (h, item, offset) in items.grams.items():
         at, owner, g = gram_docs(t, q)
@@ -159,12 +186,16 @@ def _windows(t, items: Items) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         of, entry = _expand(np.searchsorted(h, g, "left"), np.searchsorted(h, g, "right"))
         who, start = item[entry], at[of] - offset[entry]
         doc = owner[of]
+        far = exact[who]
+        if far.any():
+            sure.append(_dense(t, doc[far], who[far], start[far], q, items))
+            doc, who, start = doc[~far], who[~far], start[~far]
         # one row for each text, size, place and reach before the starts around it are laid out
         keys = np.unique(np.stack([doc, size_of[who], start, items.edits[who]]), axis=1) if len(doc) else np.zeros((4, 0), np.int64)
         of, place = _expand(keys[2] - keys[3], keys[2] + keys[3] + 1)
         doc, size = keys[0][of], keys[1][of]
-        # windows that would reach over an edge of the text are moved inside
-        place = np.clip(place, t.doc[doc], np.maximum(t.doc[doc], t.doc[doc + 1] - size))
+        # a window begins inside the text; a leak that lost words may end with the text before the window does
+        place = np.clip(place, t.doc[doc], t.doc[doc + 1] - 1)
         for n in np.unique(size):
             mine = size == n
             found.setdefault(int(n), []).append(np.stack([doc[mine], place[mine]]))
@@ -172,7 +203,7 @@ def _windows(t, items: Items) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     for n, parts in found.items():
         pair = np.unique(np.concatenate(parts, 1), axis=1)
         out[n] = (pair[0], pair[1])
-    return out
+    return out, np.concatenate(sure, 1)
 
 
 def _distances(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,16 +224,17 @@ def find_in(texts: pa.Array, items: Items, block: int = 20_000) -> list[dict[int
     """For each text, by item: the least distance and the first word of the window that led to it."""
     t = tokenize(texts, "alnum", lower=True)
     leaks: list[dict[int, tuple[int, int]]] = [{} for _ in range(len(texts))]
-    for n, (docs, places) in _windows(t, items).items():
+    windows, sure = _windows(t, items)
+    for n, (docs, places) in windows.items():
         keys, owners = items.tables[n]
         padded = np.concatenate([t.hash, np.zeros(n, U)])
         for lo in range(0, len(docs), block):
             doc, place = docs[lo : lo + block], places[lo : lo + block]
             window = padded[place[:, None] + np.arange(n)]
-            window[place[:, None] + np.arange(n) >= t.doc[doc + 1][:, None]] = 0  # a text shorter than the item
-            mine = table_keys(window, range(items.walks)).ravel()
+            window[place[:, None] + np.arange(n) >= t.doc[doc + 1][:, None]] = 0  # beyond the text
+            mine = table_keys(window, range(items.walks[n])).ravel()
             row, entry = _expand(np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right"))
-            pair = np.unique(np.stack([row // (items.walks * _TABLES), owners[entry]]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
+            pair = np.unique(np.stack([row // (items.walks[n] * _TABLES), owners[entry]]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
             for i in np.unique(pair[1]):
                 rows = pair[0][pair[1] == i]
                 k = int(items.edits[i])
@@ -214,6 +246,22 @@ def find_in(texts: pa.Array, items: Items, block: int = 20_000) -> list[dict[int
                     new = (int(d), int(place[r] - t.doc[doc[r]]))
                     old = leaks[doc[r]].get(int(i))
                     leaks[doc[r]][int(i)] = min(old, new) if old else new
+    padded = np.append(t.hash, U(0))
+    for i in np.unique(sure[1]):
+        item, k = items.words[i], int(items.edits[i])
+        doc, _, stretch = sure[:, sure[1] == i]
+        n, many = len(item), max(1, _CELLS // (len(item) + 3 * k))
+        for lo in range(0, len(doc), many):
+            d = doc[lo : lo + many]
+            first = t.doc[d] + stretch[lo : lo + many] * (k + 1) - k
+            span = first[:, None] + np.arange(n + 3 * k)
+            inside = (span >= t.doc[d][:, None]) & (span < t.doc[d + 1][:, None])
+            distance, end = _distances(item, np.where(inside, padded[np.clip(span, 0, len(t.hash))], U(0)))
+            begin = np.clip(first + end - n, t.doc[d], np.maximum(t.doc[d], t.doc[d + 1] - n)) - t.doc[d]
+            for r in np.flatnonzero(distance <= k):
+                new = (int(distance[r]), int(begin[r]))
+                old = leaks[d[r]].get(int(i))
+                leaks[d[r]][int(i)] = min(old, new) if old else new
     return leaks
 
 
