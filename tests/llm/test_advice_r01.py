@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from test_llm_operators import edited, prose
-from trialweave.llm import leaks
+from trialweave.llm import leaks, licenses
 
 
 @pytest.mark.parametrize("size", [30, 250, 500, 1000])
@@ -23,3 +24,21 @@ def test_long_items_leak(size):
     assert sum(d % 3 in got[d] for d in range(60)) >= (60 if size > 64 else 58)
     assert all(set(g) <= {d % 3} for d, g in enumerate(got[:60])) and not any(got[60:])
     assert all(dist <= 0.15 * size and abs(at - 60) <= 0.3 * size for g in got[:60] for dist, at in g.values())
+
+
+def test_every_licence_verbatim_with_all_words_indexed():
+    rng = np.random.default_rng(1)
+    vocab = licenses.vocabulary().tolist()
+    for weights in ({h: 1.0 for h in vocab}, {h: float(rng.uniform(0.1, 6)) for h in vocab}):
+        index = licenses.Index(weights, 1.0, 400)
+        texts = [f"{prose(3 * k, 40)} {t[1]} {prose(3 * k + 1, 40)}" for k, t in enumerate(licenses.TEMPLATES)]
+        texts += [f"{t[1]} {prose(900 + k, 9)} {t[1]}" for k, t in enumerate(licenses.TEMPLATES)]
+        texts += [f"the program of the year {prose(950 + k, 3)} the end of the line {t[1]}" for k, t in enumerate(licenses.TEMPLATES)]
+        part = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+        got = licenses._scan(part, index, [], 0.6, 4).to_pylist()
+        n = len(licenses.TEMPLATES)
+        for i, r in enumerate(got):
+            label, notice, _ = licenses.TEMPLATES[i % n]
+            at = [m["word"] for m in r["matches"] if m["label"] == label and m["share"] == 1.0]
+            size = len(notice.split())
+            assert set([[40], [0, size + 9], [13]][i // n]) <= set(at), (i, label, at)

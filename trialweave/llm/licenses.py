@@ -2,9 +2,10 @@
 
 The index holds, for every template, the positions of its rarest words by IDF over the corpus (words
 that at most ``common_share`` of the documents have). A file's hits on those words vote for (template,
-file position minus template position); an alignment whose votes reach ``least_share`` of the template's
-IDF mass, allowing ``slack`` words of drift, is a candidate, and it counts if the template's mandatory
-key phrases stand at that place in the file. The score of a file is the largest share of any accepted template.
+file position minus template position). An alignment's place is a start that votes name, and its weight that of
+the template's words that vote for starts within ``slack`` words of it; of places that near to each other the
+heaviest stands. An alignment that reaches ``least_share`` of the template's IDF mass is a candidate, and it
+counts if the template's mandatory key phrases stand around that place in the file. The score of a file is the largest share of any accepted template.
 
 Words are runs of ASCII letters (lower-cased), digits and characters beyond ASCII. Nulls are empty
 texts; a file without words has no labels and score 0. Every row is answered on its own; extra columns
@@ -165,11 +166,27 @@ def _alignments(t, owner: np.ndarray, index: Index, slack: int, least_share: flo
     k, start = index.template[entry], at - index.place[entry]
     order = np.lexsort((start, k, owner[at]))
     d, k, start, w, place = owner[at][order], k[order], start[order], index.weight[entry][order], index.place[entry][order]
-    # votes of one text and template whose starts lie within the slack of the one before form an alignment
-    new = np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (start[1:] - start[:-1] > slack)]
-    group = np.cumsum(new) - 1
-    once = np.unique(group * 100_003 + place, return_index=True)[1]  # a template's word votes once
-    share = np.minimum(1.0, np.bincount(group[once], w[once], group[-1] + 1) / index.mass[k[new]])
-    first = np.flatnonzero(new)
-    good = np.flatnonzero(share >= least_share)
-    return [(int(d[first[i]]), int(k[first[i]]), int(start[first[i]]), float(round(share[i], 6))) for i in good]
+    # each start that votes name, with the votes of one text and template within the slack of it
+    pair = np.cumsum(np.r_[False, (d[1:] != d[:-1]) | (k[1:] != k[:-1])])
+    line = pair * int(start.max() - start.min() + slack + 1) + start - start.min()
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    own = np.add.reduceat(w, first)
+    lo, hi = np.searchsorted(line, line[first] - slack, "left"), np.searchsorted(line, line[first] + slack, "right")
+    total = np.append(0.0, np.cumsum(w))
+    some = np.flatnonzero(total[hi] - total[lo] >= least_share * index.mass[k[first]] - 1e-6)
+    if not len(some):
+        return []
+    first, own, lo, many = first[some], own[some], lo[some], (hi - lo)[some]
+    of = np.repeat(np.arange(len(some)), many)
+    vote = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + lo[of]
+    once = np.unique(of * 100_003 + place[vote], return_index=True)[1]  # a template's word votes once
+    share = np.round(np.minimum(1.0, np.bincount(of[once], w[vote[once]], len(some)) / index.mass[k[first]]), 6)
+    # the heaviest place stands for those within the slack of it; of equal ones that with most votes for itself
+    kept: dict[tuple[int, int], list[tuple[int, float]]] = {}
+    for i in np.lexsort((start[first], -own.round(6), -share)):
+        if share[i] < least_share:
+            break
+        mine = kept.setdefault((int(d[first[i]]), int(k[first[i]])), [])
+        if all(abs(start[first[i]] - other) > slack for other, _ in mine):
+            mine.append((int(start[first[i]]), float(share[i])))
+    return [(*key, at, weight) for key, mine in sorted(kept.items()) for at, weight in sorted(mine)]
