@@ -1,5 +1,6 @@
 """Cases of the review of round 1 that the given tables don't hold."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 
 from test_llm_operators import edited, prose
 from trialweave.llm import leaks, licenses
+from trialweave.llm.queries import op10_substring_dedup
 
 
 @pytest.mark.parametrize("size", [30, 250, 500, 1000])
@@ -42,3 +44,11 @@ def test_every_licence_verbatim_with_all_words_indexed():
             at = [m["word"] for m in r["matches"] if m["label"] == label and m["share"] == 1.0]
             size = len(notice.split())
             assert set([[40], [0, size + 9], [13]][i // n]) <= set(at), (i, label, at)
+
+
+def test_digest_of_a_null_text(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "a  b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.kept_sha256) for r in op10_substring_dedup(spark, f"file://{tmp_path}").collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (0, sha("")), 2: (0, sha("")), 3: (0, sha("")), 4: (2, sha("a b"))}
