@@ -7,8 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from test_llm_operators import edited, prose
-from trialweave.llm import leaks, licenses
+from test_llm_operators import PAGES, edited, prose
+from trialweave.llm import html, leaks, licenses
 from trialweave.llm.queries import op10_substring_dedup
 
 
@@ -52,3 +52,17 @@ def test_digest_of_a_null_text(spark, tmp_path):
     got = {r.doc_id: (r.n_words, r.kept_sha256) for r in op10_substring_dedup(spark, f"file://{tmp_path}").collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == {1: (0, sha("")), 2: (0, sha("")), 3: (0, sha("")), 4: (2, sha("a b"))}
+
+
+def test_html_keeps_bodies_that_are_copies(spark):
+    body, phrase, foot = prose(1, 40), "it was one of the first things", "all rights of this fine site reserved forever"
+    page = lambda text: f"<body><div>{text}</div><div>{foot}</div></body>"
+    rows = [(i, f"http://copy.com/{i}", f"<div>{body}</div>") for i in range(4)]  # re-crawls of one page
+    told = {10 + i: f"{prose(20 + i, 20)} {phrase} {prose(50 + i, 20)}" if i < 3 else prose(20 + i, 40) for i in range(12)}
+    rows += [(i, f"http://site.com/{i}", page(t)) for i, t in told.items()]
+    rows += [(30 + i, url, page(prose(90, 30) + f" {i}")) for i, url in enumerate([None, "", "/x", "mailto:a", None])]
+    df = spark.createDataFrame([(*r, "t", "s") for r in rows], PAGES).repartition(3)
+    got = {r.page_id: r.text for r in html.extract_main_text(df).collect()}
+    assert all(got[i] == body for i in range(4))
+    assert {i: got[i] for i in told} == told  # a phrase of a quarter of the bodies stays, the footer of all goes
+    assert all(got[30 + i] == f"{prose(90, 30)} {i}\n\n{foot}" for i in range(5))
