@@ -83,6 +83,17 @@ def test_jaccard_near_the_threshold(spark, seed):
     test_jaccard(spark, out)
 
 
+def test_jaccard_of_a_large_group_around_the_threshold(spark):
+    """Copies of one text whose pairs are just above and just below the threshold: some join the group by a few links only."""
+    rng, base, out = random.Random(8), prose(70, 100).split(), []
+    for i in range(1_000):
+        w = list(base)
+        for k in rng.sample(range(0, 100, 5), rng.choice((2, 2, 3, 4))):
+            w[k] = f"y{rng.randrange(400)}"
+        out.append((i, " ".join(w), "a"))
+    test_jaccard(spark, out)
+
+
 def brute_repeats(rows, window):
     low = {}
     for i, t, _ in rows:

@@ -14,14 +14,17 @@ share of all n-grams and no pass over the corpus is needed to find the cuts.
    min-hash are compared with one centre each; the verified links fold groups of near copies into
    parts, so a group of g costs g comparisons, not g squared.
 3. *Completion.* Links inside a part change nothing. Among n-grams that several parts have, each class
-   takes its prefix with rare ones first (document frequency over what is left), and all pairs of
-   classes of different parts that meet in a prefix n-gram are compared, after one more round in
-   which each n-gram's members meet only two centres.
+   takes its prefix with rare ones first (document frequency over what is left). In two rounds the members
+   of each prefix n-gram are compared with two of them drawn at random, which merges nearly all parts that
+   link. Then all pairs of classes of different parts that meet in a prefix n-gram are compared: an
+   n-gram's largest part only with its strangers, and a pair at the first n-gram that it shares.
 
 A pair is compared in two steps: a bound from 1,024-bit parity sketches (the Hamming distance of two
 sketches never exceeds the size of the symmetric difference), evaluated inside the join, so pairs that
 fail are never rows; then exact overlaps, counted per fragment and summed per pair. No link between
-classes of different parts is missed, nothing is capped, and components are exact up to 64-bit hash collisions.
+classes of different parts is missed, nothing is capped, and components are exact up to 64-bit hash
+collisions. An n-gram of m classes, s of them strangers to its largest part, costs up to m * s bounds
+(nanoseconds each); rows are made only of those that pass, which is a thin shell around the threshold.
 
 Empty and null texts have no n-grams and are linked with nothing; a text with fewer words than n is one
 n-gram. Documents with a null doc_id take part, but never name a component unless they are alone in it
@@ -43,8 +46,12 @@ from .tokens import U, chunks, distinct_pairs, gram_docs, grams, mix, release, r
 
 #: Words of the parity sketch, min-hashes, and fragments in which overlaps of pairs are counted.
 _SKETCH, _MINHASHES, _PARTS = 16, 3, 4
+#: Rounds of comparisons with drawn centres at most, and earlier n-grams that a row carries; both only save work.
+_ROUNDS, _EARLIER = 2, 6
 #: N-grams that one fragment of the filter should hold, which bounds its task's memory.
 _FRAGMENT = 500_000
+#: N-grams of a task that are settled together before they are sent, which bounds its memory too.
+_BLOCK = 300_000
 _NULL_ID = -(2**63)
 
 
@@ -112,6 +119,31 @@ def _spread(h: np.ndarray, row: np.ndarray, label: np.ndarray, part: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(out["frag"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], list(out))
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, extra: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First n-grams of the sets in the global order, the rows they are of, and the rows' labels."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            h, size, label = document_sets(part["text"], n)
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            keep = place < (size - _need(size, percent) + _extra(size, extra))[row]
+            yield h[keep], row[keep], label
+
+
+def _blocks(pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Joins pieces to blocks of about ``_BLOCK`` n-grams, each of which sends one witness of a frequent n-gram."""
+    held: list[tuple] = []
+    grams_, rows = 0, 0
+    for h, row, label in pieces:
+        held.append((h, row + rows, label))
+        grams_, rows = grams_ + len(h), rows + len(label)
+        if grams_ >= _BLOCK:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, grams_, rows = [], 0, 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 _SPREAD_SCHEMA = "frag int, grams binary, labels binary, parts binary, runs binary, settled binary, counts binary"
 
 
@@ -182,13 +214,8 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 75, extr
     fragments = max(1, -(-total * (100 - percent + extra) // 100 // _FRAGMENT))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                h, size, label = document_sets(part["text"], n)
-                row = np.repeat(np.arange(len(size)), size)
-                place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-                keep = place < (size - _need(size, percent) + _extra(size, extra))[row]
-                yield _spread(h[keep], row[keep], label, label, fragments)
+        for h, row, label in _blocks(_prefixes(batches, n, percent, extra)):
+            yield _spread(h, row, label, label, fragments)
 
     counts = _shared_counts(documents.mapInArrow(prefixes, _SPREAD_SCHEMA), fragments)
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) * extra / 100))
@@ -198,7 +225,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 75, extr
     parts = _complete(sets, parts, percent, scratch)
     named = classes.join(parts, classes.label == parts.cls, "left").select("label", "rep", F.coalesce("part", "label").alias("part"))
     named = scratch.keep(named, "named")
-    scratch.drop("classes", "left", "sets", "open", "prefixes", "mixed", *(f"{a}-{b}" for a in ("pairs", "links", "parts") for b in ("fold", "centres", "all")))
+    scratch.drop("classes", "left", "sets", "open", *(f"{a}-{b}" for a in ("pairs", "links", "parts", "prefixes") for b in ("fold", *range(_ROUNDS + 1))))
     ids = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     named = named.join(ids, "part").select("label", "component_id")
     return info.join(named, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -282,22 +309,49 @@ def _complete(sets: DataFrame, parts: DataFrame, percent: int, scratch: Scratch)
     rare = each.join(frequency, "gram").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("order"), F.max("n").alias("n"))
     # of the n-grams of one part only, which come first in the order, there are n - size(order)
     length = F.size("order") - F.ceil(F.col("n") * percent / 100) + 1
-    rare = rare.select("cls", length.cast("int").alias("length"), "order").filter("length > 0").select("cls", F.explode(F.slice("order", F.lit(1), F.col("length"))).alias("o")).select("cls", F.col("o.gram").alias("gram"))
-    met = scratch.keep(rare.join(open_.select("cls", "part", "n", "sketch"), "cls"), "prefixes")
-    for name in ("centres", "all"):
-        if name == "centres":
-            row = F.struct("cls", "part", "n", "sketch")
-            others = met.groupBy("gram").agg(F.min_by(row, "cls").alias("x"), F.max_by(row, "cls").alias("y")).select("gram", F.explode(F.array("x", "y")).alias("c")).select("gram", "c.*")
-            once = F.col("a.cls") != F.col("b.cls")
-        else:
-            met = met.drop("part").join(parts, "cls")
-            mixed = met.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("gram")
-            others = met = scratch.keep(met.join(mixed, "gram"), "mixed")
-            once = F.col("a.cls") < F.col("b.cls")
-        pairs = others.alias("a").join(met.alias("b"), (F.col("a.gram") == F.col("b.gram")) & once & (F.col("a.part") != F.col("b.part")) & _may_link(percent))
-        pairs = scratch.keep(pairs.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct(), f"pairs-{name}")
-        links = scratch.keep(_verify(pairs, sets, percent), f"links-{name}")
-        grown = links.join(parts.select(F.col("cls").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("cls").alias("b"), F.col("part").alias("pb")), "b")
-        merged = components(grown.select(F.col("pa").alias("a"), F.col("pb").alias("b")), scratch, name).select(F.col("node").alias("part"), "component")
-        parts = scratch.keep(parts.join(merged, "part", "left").select("cls", F.coalesce("component", "part").alias("part")), f"parts-{name}")
+    rare = rare.select("cls", length.cast("int").alias("length"), F.transform("order", lambda o: o["gram"]).alias("order")).filter("length > 0")
+    rare = rare.select("cls", F.posexplode(F.slice("order", F.lit(1), F.col("length"))).alias("at", "gram"), "order")
+    earlier = F.slice("order", F.greatest(F.col("at") - _EARLIER + 1, F.lit(1)), F.least("at", F.lit(_EARLIER)))
+    rare = rare.select("cls", "gram", earlier.alias("earlier"))
+    met = scratch.keep(rare.join(open_.select("cls", "part", "n", "sketch"), "cls"), "prefixes-0")
+    for k in range(_ROUNDS):
+        links, parts, met = _round(_centre_pairs(met, percent, k), sets, parts, met, percent, scratch, k)
+        if links.isEmpty():
+            break
+    _, parts, _ = _round(_all_pairs(met, percent), sets, parts, met, percent, scratch, _ROUNDS)
     return parts
+
+
+def _centre_pairs(met: DataFrame, percent: int, k: int) -> DataFrame:
+    """Each n-gram's members against two of them, drawn anew for each n-gram and round, where these are of another part."""
+    row, draw = F.struct("cls", "part", "n", "sketch"), F.xxhash64(F.lit(k), "gram", "cls")
+    centres = met.groupBy("gram").agg(F.min_by(row, draw).alias("x"), F.max_by(row, draw).alias("y")).select("gram", F.explode(F.array("x", "y")).alias("c")).select("gram", "c.*")
+    return centres.alias("a").join(met.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.part") != F.col("b.part")) & _may_link(percent))
+
+
+def _all_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different parts that share a prefix n-gram, at the first of these as far as the ``earlier`` ones tell.
+
+    Members of an n-gram's largest part meet those of its other parts only, so a large group that has become
+    one part costs as many comparisons as there are strangers, not as many as it has pairs.
+    """
+    sizes = met.groupBy("gram", "part").count().groupBy("gram").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+    b = met.join(sizes, "gram").withColumn("main", F.col("part") == F.col("main"))
+    a = b.filter(~F.col("main"))
+    once = F.col("b.main") | (F.col("a.cls") < F.col("b.cls"))
+    first = ~F.arrays_overlap("a.earlier", "b.earlier")
+    return a.alias("a").join(b.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.part") != F.col("b.part")) & once & _may_link(percent) & first)
+
+
+def _round(pairs: DataFrame, sets: DataFrame, parts: DataFrame, met: DataFrame, percent: int, scratch: Scratch, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The links among some pairs, the parts that they join, and the members of n-grams that are still of several parts."""
+    pairs = scratch.keep(pairs.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct(), f"pairs-{k}")
+    links = scratch.keep(_verify(pairs, sets, percent), f"links-{k}")
+    if links.isEmpty():
+        return links, parts, met
+    grown = links.join(parts.select(F.col("cls").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("cls").alias("b"), F.col("part").alias("pb")), "b")
+    merged = components(grown.select(F.col("pa").alias("a"), F.col("pb").alias("b")), scratch, f"round-{k}").select(F.col("node").alias("part"), "component")
+    parts = scratch.keep(parts.join(merged, "part", "left").select("cls", F.coalesce("component", "part").alias("part")), f"parts-{k}")
+    met = met.join(merged, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
+    mixed = met.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("gram")
+    return links, parts, scratch.keep(met.join(mixed, "gram", "left_semi"), f"prefixes-{k + 1}")
