@@ -1,17 +1,18 @@
 """Toxicity: a linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
-Texts are lower-cased (A-Z) and cut into words; the features of a text are the distinct hashed byte
-n-grams of its words, each word padded by one blank on either side. Two distributed passes over a
-bounded sample of labelled rows give the model:
+Texts are lower-cased (A-Z), runs of white space become one blank, and a blank is put at either end. The
+features of a text are its distinct n-grams of code points, hashed. Two distributed passes over a bounded
+sample of labelled rows give the model:
 
 1. texts of either label that contain a feature, per feature; the log of the smoothed ratio of its
-   shares in the two classes is the naive Bayes ratio, and the ``keep`` features whose counts differ
-   most significantly remain;
-2. the remaining features of each sampled text, to which the driver fits a logistic regression whose
-   inputs are the ratios themselves.
+   shares in the two classes is the naive Bayes ratio, and features rank by how significantly their
+   counts differ;
+2. the first features of each sampled text, to which the driver fits a logistic regression whose
+   inputs are the ratios themselves. How many features stay and the penalty are those of ``grid`` with the least
+   log loss in cross-validation among the sampled rows: nothing is chosen on rows that the caller held out.
 
-``max_labels`` bounds the sample (rows whose doc_id hashes lowest), ``2 ** bits`` the features; both
-together bound what is broadcast and collected. Scoring reads every whole text once.
+``max_labels`` bounds the sample (rows whose doc_id hashes lowest; as many texts, should ids repeat), ``2 ** bits``
+the features; both together bound what is broadcast and collected. Scoring reads every whole text once.
 
 Null and empty texts have no features and get the score of the intercept. Rows with the same doc_id
 are scored each on its own. Without labels of both kinds every score is the (smoothed) share of label 1.
@@ -29,7 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .tokens import U, chunks, mix, tokenize
+from .tokens import U, chunks, text_bytes
+
+#: A-Z to lower case, and every white space to a blank.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[9:14] = 32
 
 
 class Model(NamedTuple):
@@ -41,45 +47,39 @@ class Model(NamedTuple):
     weight: np.ndarray
 
 
+def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, each with a blank at either end and single blanks inside, and the text of each."""
+    buf, offsets = text_bytes(texts)
+    buf = _FOLD[np.insert(buf, np.concatenate([offsets[:-1], offsets[1:]]), 32)]
+    lead = (buf & 0xC0) != 0x80
+    point = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    bounds = offsets + 2 * np.arange(len(offsets))
+    size = np.diff(np.append(0, np.cumsum(lead))[bounds])
+    owner = np.repeat(np.arange(len(size)), size)
+    stay = np.ones(len(point), bool)
+    stay[1:] = (point[1:] != 32) | (point[:-1] != 32) | (owner[1:] != owner[:-1])
+    return point[stay].astype(U), owner[stay]
+
+
+#: Numbers of features and penalties to choose from.
+GRID = tuple((keep, l2) for keep in (256, 1024, 4096) for l2 in (1.0, 5.0, 25.0))
+
+
 def text_features(texts: pa.Array, bits: int, orders: tuple[int, ...], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs, by text; ``only``: a flag for each feature that is wanted.
-
-    Equal words have equal n-grams, so n-grams are made once per distinct word of the batch.
-    """
-    t = tokenize(texts, lower=True)
-    if not len(t.start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, first, word = np.unique(t.hash, return_index=True, return_inverse=True)
-    length = t.end[first] - t.start[first]
-    # distinct words side by side, each with a blank before it and one at the very end
-    begin = np.concatenate([[0], np.cumsum(length + 1)])
-    line = np.full(begin[-1] + 1, 32, np.uint8)
-    at = np.arange(begin[-1]) - np.repeat(begin[:-1], length + 1)
-    inside = at > 0
-    line[:-1][inside] = t.buf[(np.repeat(t.start[first], length + 1) + at - 1)[inside]]
-    mine = np.repeat(np.arange(len(first)), length + 1)
-    grams, owners = [], []
-    for n in orders:
-        m = len(line) - n + 1
-        h = np.full(max(m, 0), n, U)
-        for j in range(n):
-            h = h * U(0x100000001B3) + line[j : j + m]
-        here = np.flatnonzero(np.arange(max(m, 0)) + n <= (begin[1:] + 1)[mine[: max(m, 0)]]) if m > 0 else np.zeros(0, np.int64)
-        grams.append((mix(h[here]) >> U(64 - bits)).astype(np.int64))
-        owners.append(mine[here])
-    gram, owner = np.concatenate(grams), np.concatenate(owners)
-    if only is not None:
-        wanted = only[gram]
-        gram, owner = gram[wanted], owner[wanted]
-    order = np.argsort(owner, kind="stable")
-    gram, count = gram[order], np.bincount(owner, minlength=len(first))
-    start = np.cumsum(count) - count
-    # distinct words of each text, then their n-grams
-    pair = np.unique(t.owner() * len(first) + word)
-    doc, w = pair // len(first), pair % len(first)
-    many = count[w]
-    pick = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[w], many)
-    pair = np.unique((np.repeat(doc, many) << bits) | gram[pick])
+    """Distinct (text, feature) pairs, by text; ``only``: a flag for each feature that is wanted."""
+    point, owner = _code_points(texts)
+    h, pairs = point, []
+    for n in range(1, max(orders) + 1):
+        if n > 1:
+            h = h[:-1] * U(0x100000001B3) + point[n - 1 :]
+        if n not in orders or not len(h):
+            continue
+        feature = ((h + U(n)) * U(0x9E3779B97F4A7C15) >> U(64 - bits)).astype(np.int64)
+        good = owner[: len(h)] == owner[n - 1 :]
+        if only is not None:
+            good &= only[feature]
+        pairs.append(owner[: len(h)][good] << bits | feature[good])
+    pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
     return pair >> bits, pair & ((1 << bits) - 1)
 
 
@@ -98,8 +98,38 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, y: np.ndarr
     return w, float(b)
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, bits: int = 20, orders: tuple[int, ...] = (3, 4, 5, 6), keep: int = 1024, alpha: float = 1.0, l2: float = 5.0, steps: int = 300) -> Model:
-    """Learns label ``toxic`` of at most ``max_labels`` rows of ``labels``."""
+def _ranked(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Naive Bayes log-count ratio of each feature, and its place by how significantly its counts differ."""
+    ratio = np.log((toxic + alpha) / (n_toxic + 2 * alpha)) - np.log((clean + alpha) / (n_clean + 2 * alpha))
+    share = (clean + toxic) / (n_clean + n_toxic)
+    z = (toxic - n_toxic * share) / np.sqrt(np.maximum(n_toxic * share * (1 - share) * n_clean / (n_clean + n_toxic), 1e-9))
+    place = np.empty(len(z), np.int64)
+    place[np.lexsort((np.arange(len(z)), -np.abs(z)))] = np.arange(len(z))
+    return ratio, place
+
+
+def _choose(cols: np.ndarray, n: np.ndarray, width: int, y: np.ndarray, grid: tuple, alpha: float, steps: int, folds: int = 4) -> tuple[int, float]:
+    """The (features, penalty) of ``grid`` with the least log loss over the folds, each with ratios and ranks of its own."""
+    row, fold, losses = np.repeat(np.arange(len(y)), n), np.arange(len(y)) % folds, np.zeros(len(grid))
+    for k in range(folds):
+        out = fold == k
+        toxic, clean = int(y[~out].sum()), int((~out).sum() - y[~out].sum())
+        if not toxic or not clean:
+            continue
+        learn, test = ~out[row], out[row]
+        counts = [np.bincount(cols[learn & (y[row] == v)], minlength=width) for v in (0, 1)]
+        ratio, rank = _ranked(*counts, clean, toxic, alpha)
+        place = np.cumsum(~out) - 1
+        for g, (keep, l2) in enumerate(grid):
+            mine, theirs = learn & (rank[cols] < keep), test & (rank[cols] < keep)
+            w, b = _logistic(place[row[mine]], cols[mine], ratio[cols[mine]], y[~out], width, l2, steps)
+            z = np.bincount(row[theirs], w[cols[theirs]] * ratio[cols[theirs]], len(y))[out] + b
+            losses[g] += np.logaddexp(0, np.where(y[out] > 0, -z, z)).sum()
+    return grid[int(np.argmin(losses.round(6)))]
+
+
+def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labels: int = 20_000, bits: int = 20, orders: tuple[int, ...] = (3, 4, 5, 6), grid: tuple = GRID, alpha: float = 1.0, steps: int = 300, choose_rows: int = 2_000) -> Model:
+    """Learns label ``toxic`` of at most ``max_labels`` rows of ``labels``; cross-validates on ``choose_rows`` of them."""
     ship(documents.sparkSession)
     sample = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labels)
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
@@ -123,12 +153,9 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labels: int = 20_0
     if not clean or not toxic:
         return Model(bits, orders, float(np.log((toxic + 1) / (clean + 1))), weight)
     feature, a, b = got[:-1, 0], got[:-1, 1], got[:-1, 2]
-    ratio = np.log((b + alpha) / (toxic + 2 * alpha)) - np.log((a + alpha) / (clean + 2 * alpha))
-    share = (a + b) / (clean + toxic)
-    z = (b - toxic * share) / np.sqrt(np.maximum(toxic * share * (1 - share) * clean / (clean + toxic), 1e-9))
-    best = np.lexsort((feature, -np.abs(z)))[:keep]
-    best = best[np.argsort(feature[best])]
-    kept, ratio = feature[best], ratio[best]
+    ratio, rank = _ranked(a, b, clean, toxic, alpha)
+    best = np.flatnonzero(rank < max(keep for keep, _ in grid))
+    kept, ratio, rank = feature[best], ratio[best], rank[best]
     wanted = np.zeros(1 << bits, bool)
     wanted[kept] = True
 
@@ -140,12 +167,16 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labels: int = 20_0
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(np.searchsorted(kept, f).astype(np.int16)))
                 yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["toxic"].cast(pa.int32()), lists], ["doc_id", "toxic", "features"])
 
-    texts = rows.mapInArrow(select, "doc_id long, toxic int, features array<short>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    texts = rows.mapInArrow(select, "doc_id long, toxic int, features array<short>").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("features")).limit(max_labels)
+    texts = texts.toArrow().combine_chunks()
     lists = texts["features"].combine_chunks()
     n = np.diff(lists.offsets.to_numpy())
     cols = lists.flatten().to_numpy().astype(np.int64)
     y = (texts["toxic"].to_numpy() > 0).astype(float)
-    w, intercept = _logistic(np.repeat(np.arange(len(y)), n), cols, ratio[cols], y, len(kept), l2, steps)
+    few = min(choose_rows, len(y))  # in the order of a hash
+    keep, l2 = _choose(cols[: n[:few].sum()], n[:few], len(kept), y[:few], grid, alpha, steps // 4)
+    row, mine = np.repeat(np.arange(len(y)), n), rank[cols] < keep
+    w, intercept = _logistic(row[mine], cols[mine], ratio[cols[mine]], y, len(kept), l2, steps)
     weight[kept] = w * ratio
     return Model(bits, orders, intercept, weight)
 
