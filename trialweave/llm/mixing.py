@@ -3,15 +3,17 @@
 Each source asks for a share of the budget in proportion to its weight, but can give at most
 ``max_epochs`` times its size. Sources above that bound are clamped and what they leave is shared
 among the rest by weight, until no target is above its bound: the exact water level, found on one
-row per source. Documents are then taken in a seeded order (a 64-bit hash of doc_id) with whole repetitions for every document and one more for the documents at the head of the
-order, up to the point where the source's words come nearest to its target.
+row per source. Documents are then taken in a seeded order (a hash of doc_id and text, ties broken)
+with whole repetitions for every document and one more for the documents at the head of the order, up
+to the point where the source's words come nearest to its target.
 
-That point is found without sorting a source: words are summed per source and 12-bit slice of the
-hash, the slice in which the target falls is summed again by its next 12 bits, and so on. Every sum
+That point is found without sorting a source: words are summed per source and 15-bit slice of the
+hash, the slice in which the target falls is summed again by its next 15 bits, and so on. Every sum
 is combined on the map side, so a source that holds a third of all rows costs no more than others.
 
-Empty and null texts have size 0. A null source is a source of its own and comes last. Documents
-with the same id share a hash and are taken alike. An empty table gives no rows.
+Empty and null texts have size 0. A null source is a source of its own and comes last. Rows that repeat
+a doc_id (or have none) are ordered by their texts too, and equal ones by their place in the input, so a source
+of nothing but copies still comes near its target. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, joined
 
-#: Bits of the seeded order that one level looks at, and the levels: 2**-36 of a source remains undecided.
-_BITS, _LEVELS = 12, 3
+#: Bits of the seeded order that one level looks at, and the levels, which reach into the bits that break ties.
+_BITS, _LEVELS, _TIE_BITS = 15, 4, 16
 
 
 def water_fill(sizes: dict, weights: dict, budget: float, max_epochs: float) -> dict:
@@ -51,15 +53,17 @@ def cyclic_weights(sources: list, cycle: tuple = (5.0, 2.0, 1.0)) -> dict:
     return {s: cycle[i % len(cycle)] for i, s in enumerate(ordered)}
 
 
-def mix_plan(documents: DataFrame, weights=cyclic_weights, share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix_plan(documents: DataFrame, weights=cyclic_weights, share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, tie: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents' sizes (doc_id, source, size, _at) and a row per source with its target and where its order is cut.
 
+    ``tie`` orders rows of equal doc_id and text; by default their place in the input, which the written sizes fix.
     ``weights``: a dict by source, or a function of the list of sources that returns one. One row per
     source comes to the driver; sources are a configured set, not data of the size of the corpus.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "mix")
-    sized = scratch.keep(documents.select("doc_id", "source", _size().alias("size"), _order(seed).alias("_at")), "sized")
+    tie = F.monotonically_increasing_id() if tie is None else tie
+    sized = scratch.keep(documents.select("doc_id", "source", _size().alias("size"), _order(seed, tie).alias("_at")), "sized")
     totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     weight = weights(list(totals)) if callable(weights) else {s: weights.get(s, 0.0) for s in totals}
     targets = water_fill(totals, weight, share * sum(totals.values()), max_epochs)
@@ -74,8 +78,11 @@ def _size() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _order(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"))
+def _order(seed: int, tie: Column) -> Column:
+    """A seeded hash of doc_id and text, whose last bits are those of a hash of ``tie``."""
+    first = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    last = F.xxhash64(F.lit(seed + 1), tie)
+    return first.bitwiseAND(F.lit(-(1 << _TIE_BITS))).bitwiseOR(last.bitwiseAND(F.lit((1 << _TIE_BITS) - 1)))
 
 
 def _taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -93,9 +100,14 @@ def mix_sources(documents: DataFrame, **options) -> DataFrame:
 
 
 def apply_mix(documents: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """The rows that the mix takes, with all their columns and size, source_size, target, copies and taken."""
-    _, cuts = mix_plan(documents, seed=seed, **options)
-    rows = documents.withColumn("size", _size()).withColumn("__tw_at", _order(seed))
+    """The rows that the mix takes, with all their columns and size, source_size, target, copies and taken.
+
+    Input columns of these five names are replaced. Rows that are equal in every column are taken alike.
+    """
+    plain = [f.name for f in documents.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    _, cuts = mix_plan(documents, seed=seed, tie=tie, **options)
+    rows = documents.withColumn("__tw_at", _order(seed, tie)).withColumn("size", _size())
     return _taken(rows, cuts).filter("copies > 0")
 
 
