@@ -19,7 +19,8 @@ Where ``_MOST_WALKS`` walks don't reach the target, and for items of more than `
 out and verification follows step 1, which is complete: k edits spoil at most k * q of an item's q-grams, and
 those that stay have aligned places within k words of each other, so only places with that many are verified.
 
-Items with fewer than ``min_words`` words can't tell a leak from chance and are left out. Items are read in
+Items of fewer than 7 words allow no edits at the default share, so these are found as exact runs of words.
+Items without a word, or with fewer than ``min_words``, are left out. Items are read in
 blocks of ``block_items``, a pass over the documents each, so what is broadcast is bounded at any size of the benchmark.
 Null and empty texts have no leaks; repeated items are all reported; extra columns pass through; an empty
 table of documents gives no rows and an empty benchmark no leaks.
@@ -157,17 +158,25 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + lo[of]
 
 
-def _dense(t, doc: np.ndarray, who: np.ndarray, start: np.ndarray, q: int, items: Items) -> np.ndarray:
-    """Texts, items and stretches of k + 1 places that may hold a leak, as rows, from the places that shared q-grams align to."""
-    if not len(doc):
-        return np.zeros((3, 0), np.int64)
+def _pieces(total: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Cuts rows with running totals of hits into pieces of about ``most`` hits, so that n-grams of many items need little memory at a time."""
+    a = 0
+    while a < len(total):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def _dense(t, doc: np.ndarray, who: np.ndarray, start: np.ndarray, times: np.ndarray, q: int, items: Items) -> np.ndarray:
+    """Texts, items and stretches of k + 1 places that may hold a leak, as rows, from the places that shared q-grams align to, and how many do."""
     order = np.lexsort((start, who, doc))
-    doc, who, start = doc[order], who[order], start[order]
+    doc, who, start, times = doc[order], who[order], start[order], times[order]
     k = items.edits[who]
     size = np.array([len(w) for w in items.words], np.int64)[who]
     pair = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (who[1:] != who[:-1])])
     line = pair * int(start.max() - start.min() + k.max() + 1) + start - start.min()
-    enough = np.searchsorted(line, line + k, "right") - np.arange(len(line)) >= size - q + 1 - k * q
+    total = np.append(0, np.cumsum(times))
+    enough = total[np.searchsorted(line, line + k, "right")] - total[:-1] >= size - q + 1 - k * q
     return np.unique(np.stack([doc, who, (start - t.doc[doc]) // (k + 1)])[:, enough], axis=1)
 
 
@@ -183,22 +192,29 @@ def _windows(t, items: Items) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]],
         bits = len(seen).bit_length() - 1
         near = np.flatnonzero(seen[(g >> U(64 - bits)).astype(np.int64)])
         at, owner, g = at[near], owner[near], g[near]
-        of, entry = _expand(np.searchsorted(h, g, "left"), np.searchsorted(h, g, "right"))
-        who, start = item[entry], at[of] - offset[entry]
-        doc = owner[of]
-        far = exact[who]
-        if far.any():
-            sure.append(_dense(t, doc[far], who[far], start[far], q, items))
-            doc, who, start = doc[~far], who[~far], start[~far]
-        # one row for each text, size, place and reach before the starts around it are laid out
-        keys = np.unique(np.stack([doc, size_of[who], start, items.edits[who]]), axis=1) if len(doc) else np.zeros((4, 0), np.int64)
-        of, place = _expand(keys[2] - keys[3], keys[2] + keys[3] + 1)
-        doc, size = keys[0][of], keys[1][of]
-        # a window begins inside the text; a leak that lost words may end with the text before the window does
-        place = np.clip(place, t.doc[doc], t.doc[doc + 1] - 1)
-        for n in np.unique(size):
-            mine = size == n
-            found.setdefault(int(n), []).append(np.stack([doc[mine], place[mine]]))
+        lo, hi = np.searchsorted(h, g, "left"), np.searchsorted(h, g, "right")
+        total = np.cumsum(hi - lo)
+        far: list[np.ndarray] = []
+        for a, b in _pieces(total):
+            of, entry = _expand(lo[a:b], hi[a:b])
+            who, start = item[entry], at[a:b][of] - offset[entry]
+            doc = owner[a:b][of]
+            mine = exact[who]
+            if mine.any():
+                places, times = np.unique(np.stack([doc[mine], who[mine], start[mine]]), axis=1, return_counts=True)
+                far.append(np.vstack([places, times]))
+            doc, who, start = doc[~mine], who[~mine], start[~mine]
+            # one row for each text, size, place and reach before the starts around it are laid out
+            keys = np.unique(np.stack([doc, size_of[who], start, items.edits[who]]), axis=1) if len(doc) else np.zeros((4, 0), np.int64)
+            of, place = _expand(keys[2] - keys[3], keys[2] + keys[3] + 1)
+            doc, size = keys[0][of], keys[1][of]
+            # a window begins inside the text; a leak that lost words may end with the text before the window does
+            place = np.clip(place, t.doc[doc], t.doc[doc + 1] - 1)
+            for n in np.unique(size):
+                mine = size == n
+                found.setdefault(int(n), []).append(np.unique(np.stack([doc[mine], place[mine]]), axis=1))
+        if far:
+            sure.append(_dense(t, *np.concatenate(far, 1), q, items))
     out = {}
     for n, parts in found.items():
         pair = np.unique(np.concatenate(parts, 1), axis=1)
@@ -265,7 +281,7 @@ def find_in(texts: pa.Array, items: Items, block: int = 20_000) -> list[dict[int
     return leaks
 
 
-def mark_leaks(documents: DataFrame, benchmark: DataFrame, max_share: float = 0.15, recall: float = 0.995, min_words: int = 5, block_items: int = 20_000) -> DataFrame:
+def mark_leaks(documents: DataFrame, benchmark: DataFrame, max_share: float = 0.15, recall: float = 0.995, min_words: int = 1, block_items: int = 20_000) -> DataFrame:
     """``documents`` with ``leaks`` added: an array of (item_id, distance, start_word, item_words), by item_id."""
     spark = documents.sparkSession
     ship(spark)
