@@ -14,8 +14,8 @@ a document with a smaller doc_id are removed; windows are judged on the input.
    of the window, and the smallest document below the node. Leaves of other documents are repeats; a run
    of such leaves along a document is a maximal repeat. Below that depth a tree need not branch.
 
-Suffixes whose node has a smaller document in the same map task are settled there: each task sends at most
-one document's leaves for a node, so a passage that a third of all documents share makes a small group.
+Suffixes whose node has a smaller document in the same block of a map task (2 MB of text) are settled there: a
+block sends at most one document's leaves for a node, so a passage that a third of all documents share makes a small group.
 
 Null and empty texts have no words and lose none. A null doc_id is larger than any other, and not smaller
 than another null. Rows with one doc_id never remove from each other. Extra columns pass through the pipeline's
@@ -112,45 +112,57 @@ def shared_anchors(documents: DataFrame, window: int, scratch: Scratch, fragment
 
 
 class _Groups:
-    """The partition of suffixes: slots of the first word joined into groups, and slots split by longer prefixes."""
+    """The partition of suffixes: slots of the first word joined into groups, and slots split by longer prefixes.
+
+    A slot that is split opens about as many new ones as it holds groups, so there are a few slots for each group,
+    that is, for each task of the subtrees.
+    """
 
     def __init__(self, window: int):
         self.lengths = [n for n in (1, 2, 4, 8, 16, 32) if n < window] + [window]
-        self.split: list[np.ndarray] = []  # nodes of each length that go on to the next
+        self.split: list[tuple[np.ndarray, np.ndarray]] = []  # nodes of each length that go on to the next, and bits of their new slots
         self.nodes, self.group = np.zeros(0, U), np.zeros(0, np.int64)
 
     def node(self, words: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The node of each suffix, of the shortest prefix that isn't split, and which suffixes reach ``depth``."""
-        slot = lambda n: mix(grams(words, n)[at]) >> U(64 - _SLOT_BITS)
-        node, alive = slot(1) if len(at) else np.zeros(0, U), np.ones(len(at), bool)
-        for k in range(depth):
-            alive &= np.isin(node, self.split[k]) if k < len(self.split) else False
+        hashed = lambda n: mix(grams(words, n)[at]) if len(at) else np.zeros(0, U)
+        node, alive = hashed(1) >> U(64 - _SLOT_BITS), np.ones(len(at), bool)
+        for heavy, bits in self.split[:depth]:
+            place = np.minimum(np.searchsorted(heavy, node), len(heavy) - 1)
+            alive &= heavy[place] == node
             if alive.any():
-                node = np.where(alive, mix(node + U(1)) ^ slot(self.lengths[k + 1]), node)
+                k = self.lengths[self._level(heavy) + 1]
+                node = np.where(alive, mix(node + U(1)) ^ (hashed(k) >> (U(64) - bits[place])), node)
         return node, alive
 
+    def _level(self, heavy: np.ndarray) -> int:
+        return next(i for i, (h, _) in enumerate(self.split) if h is heavy)
+
     def of(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
         node, _ = self.node(words, at, len(self.split))
         return self.group[np.searchsorted(self.nodes, node)]
 
 
 def _partition(candidates: DataFrame, window: int, group_rows: int) -> _Groups:
+    context = candidates.sparkSession.sparkContext
     groups, done, level = _Groups(window), {}, 0
     while True:
+        shared = context.broadcast(groups)
 
-        def count(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch], level: int = level, shared=shared) -> Iterator[pa.RecordBatch]:
             for part, t, at in _suffixes(batches, window):
-                node, alive = groups.node(t.hash, at, level)
+                node, alive = shared.value.node(t.hash, at, level)
                 key, n = np.unique(node[alive], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], ["node", "n"])
 
-        rows = candidates.mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()  # a row per slot, not per suffix
-        found = {int(np.uint64(r["node"] % 2**64)): r["n"] for r in rows}
-        heavy = {k for k, n in found.items() if n > group_rows} if level + 1 < len(groups.lengths) else set()
+        rows = candidates.mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toArrow()  # a row per slot, not per suffix
+        found = dict(zip(rows["node"].to_numpy().astype(np.int64).view(U).tolist(), rows["n"].to_pylist(), strict=True))
+        heavy = {k: n for k, n in found.items() if n > group_rows} if level + 1 < len(groups.lengths) else {}
         done |= {k: n for k, n in found.items() if k not in heavy}
         if not heavy:
             break
-        groups.split.append(np.array(sorted(heavy), U))
+        bits = [min(_SLOT_BITS, (4 * heavy[k] // group_rows).bit_length() + 2) for k in sorted(heavy)]
+        groups.split.append((np.array(sorted(heavy), U), np.array(bits, U)))
         level += 1
     nodes, group, filled = sorted(done), [], 0
     for k in nodes:
@@ -189,6 +201,7 @@ def _sequence(t: Tokens) -> np.ndarray:
 def _repeat_rows(candidates: DataFrame, groups: _Groups, window: int) -> DataFrame:
     """(doc_id, sequence, starts): windows that a smaller document has; subtrees send them packed by bucket of documents."""
     buckets = int(groups.group[-1]) + 1 if len(groups.group) else 1
+    shared = candidates.sparkSession.sparkContext.broadcast(groups)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t, at in _suffixes(batches, window):
@@ -201,7 +214,7 @@ def _repeat_rows(candidates: DataFrame, groups: _Groups, window: int) -> DataFra
             least = np.repeat(d[first], np.diff(np.append(first, len(key))))
             known = order[d > least]  # a smaller document of this block has the window
             rest = order[d == least]
-            group = groups.of(t.hash, at[rest])
+            group = shared.value.of(t.hash, at[rest])
             order = np.lexsort((place[rest], doc[rest], group))
             rest, group = rest[order], group[order]
             for g, a, b in runs_of(group):
