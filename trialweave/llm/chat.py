@@ -77,9 +77,30 @@ def format_chats(conversations: DataFrame, loss_role: str = "assistant") -> Data
     return chats.select("conv_id", "formatted", "escaped", mask.alias("loss_mask"), (F.col("turns") == F.col("source")).alias("round_trip"), "turns")
 
 
-def chat_digest(chats: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """Counts and digests of what the parser reads back from ``formatted``."""
-    loss = F.concat_ws("", F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"]))
+def masked_text(formatted: Column, mask: Column) -> Column:
+    """What stands under the loss mask, unescaped run by run.
+
+    The mask's runs are laid over the formatted text turn by turn (three runs each: up to the text, the text,
+    its end), so every run is cut from its own turn, and the cost is linear in the conversation.
+    """
+    pieces = F.split(formatted, r"<\|im_start\|>")
+    turns = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+    def cut(piece: Column, i: Column) -> Column:
+        head, run, tail = (F.get(mask, 3 * i + k) for k in range(3))
+        at = head["chars"].cast("int") - len(START)
+        end = at + run["chars"].cast("int")
+        before = F.when(head["loss"], F.substring(piece, F.lit(1), at)).otherwise("")
+        inside = F.when(run["loss"], unescape(F.substring(piece, at + 1, run["chars"].cast("int")))).otherwise("")
+        after = F.when(tail["loss"], F.substring(piece, end + 1, tail["chars"].cast("int"))).otherwise("")
+        return F.concat(before, inside, after)
+
+    return F.concat_ws("", F.transform(turns, cut))
+
+
+def chat_digest(chats: DataFrame) -> DataFrame:
+    """Counts and digests of what is read back from ``formatted``: turns by the parser, loss text by the mask."""
+    loss = masked_text(F.col("formatted"), F.col("loss_mask"))
     everything = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return chats.withColumn("loss_text", loss).select(
         "conv_id",
