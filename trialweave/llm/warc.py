@@ -59,7 +59,11 @@ def capture_time(page_id: int | None) -> str:
 
 
 def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:/", uri) else f"file://{uri}")
+    """The file system of a shared folder as Spark names it. Credentials are those of the executors' environment."""
+    scheme = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*):/", uri)
+    if scheme and scheme[1] in ("s3a", "s3n"):
+        uri = "s3" + uri[3:]
+    return fs.FileSystem.from_uri(uri if scheme else f"file://{uri}")
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -221,8 +225,11 @@ def capture_runs(archives: DataFrame) -> DataFrame:
     return archives.select("archive").mapInArrow(read, _ROW)
 
 
-def merged_captures(runs: DataFrame) -> DataFrame:
-    """All index rows in global order of (url_key, timestamp, page_id): partitions in order, rows in order inside them."""
+def merged_captures(runs: DataFrame, range_rows: int = 50_000) -> DataFrame:
+    """All index rows in global order of (url_key, timestamp, page_id): partitions in order, rows in order inside them.
+
+    There are as many ranges as give about ``range_rows`` rows each, which bounds what a merging task holds.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[str, list[tuple]] = {}
@@ -235,7 +242,8 @@ def merged_captures(runs: DataFrame) -> DataFrame:
         yield from _batches(iter(LoserTree([iter(pieces[k]) for k in sorted(pieces)], _order)))
 
     key = [F.col("url_key"), F.col("timestamp"), F.coalesce("page_id", F.lit(_LAST))]
-    return runs.repartitionByRange(*key).mapInArrow(merge, _ROW)
+    ranges = max(1, -(-runs.count() // range_rows))
+    return runs.repartitionByRange(ranges, *key).mapInArrow(merge, _ROW)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, least: int = 100) -> DataFrame:
