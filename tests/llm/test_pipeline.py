@@ -4,8 +4,11 @@ import random
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_llm_operators import prose
 
+#: Columns with the names that stages use inside.
+CLASH = ["score", "predicted", "_id", "label", "part", "n_words", "n_removed", "leaks"]
 BAD = ["idiot", "moron", "scum", "loser"]
 
 
@@ -36,11 +39,16 @@ def test_pipeline(spark, tmp_path):
     add(1200, prose(502, 80) + " " + passage)
     add(1201, prose(503, 80) + "\n" + passage + "\n" + prose(504, 80))
     add(1300, prose(505, 40) + " " + item.upper() + " " + prose(506, 40))
+    add(1500, "unlike " + prose(507, 40))  # one id, two texts: a copy of another document and a text of its own
+    add(1500, prose(502, 80) + " " + passage)
+    add(None, prose(508, 40))
+    add(None, prose(508, 40))
+    add(None, " ".join(near))
     add(1400, None, None)
     add(1401, "")
     clean |= {1000, 1100, 1200, 1201, 1400, 1401}
     d = f"file://{tmp_path}"
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(f"own {c}") for c in CLASH}).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     docs, kept, columns = spark.read.parquet(f"{d}/documents.parquet"), {}, None
@@ -50,11 +58,13 @@ def test_pipeline(spark, tmp_path):
         docs = spark.read.parquet(f"{d}/out-{name}")
         kept[name] = docs.collect()
         assert docs.columns == columns or name == "mixing"
+        assert all(r[c] == f"own {c}" for r in kept[name] for c in CLASH)
     ids = {n: [r.doc_id for r in rs] for n, rs in kept.items()}
     toxic = {i for i, _, t in labels if t}
     assert len(toxic & set(ids["toxicity"])) <= 2 and len(clean - set(ids["toxicity"])) <= 2
     lost = clean - set(ids["toxicity"])
-    assert {i for i in ids["near_duplicates"] if 1000 <= i < 1100} == {1000} and ids["near_duplicates"].count(1100) == 1
+    assert {i for i in ids["near_duplicates"] if i is not None and 1000 <= i < 1100} == {1000} and ids["near_duplicates"].count(1100) == 1
+    assert [r.text[:6] for r in kept["near_duplicates"] if r.doc_id == 1500] == ["unlike"] and [r.text for r in kept["near_duplicates"] if r.doc_id is None] == [prose(508, 40)]
     cut = {r.doc_id: r for r in kept["repeated_passages"]}
     assert cut[1201].text == prose(503, 80) + " " + prose(504, 80) and cut[1201].n_chars == len(cut[1201].text)
     before = {r.doc_id: r.text for r in kept["near_duplicates"]}
@@ -68,7 +78,7 @@ def test_pipeline(spark, tmp_path):
         mine = [r for r in mixed if r.source == source]
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine)
     run = corpus_pipeline.run(spark, d).collect()
-    assert sorted((r.doc_id, r.copies) for r in run) == sorted((r.doc_id, r.copies) for r in mixed)
+    assert sorted((str(r.doc_id), r.copies) for r in run) == sorted((str(r.doc_id), r.copies) for r in mixed)
     empty = spark.createDataFrame([], docs.schema).select(columns)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, d).count() == 0

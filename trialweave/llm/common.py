@@ -36,12 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a full URI: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share, as a full URI: spark.checkpoint.dir, or (unset, in local mode only) one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
         full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
         return re.sub(r"^file:/(?!//)", "file:///", full).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="trialweave-"))
     return _own_dir[0]

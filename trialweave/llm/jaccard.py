@@ -196,8 +196,25 @@ def _shared_counts(spread: DataFrame, fragments: int) -> DataFrame:
     return partial.groupBy("bucket").applyInArrow(total, "label long, shared long")
 
 
-def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 75, extra: int = 9) -> DataFrame:
+def jaccard_components(documents: DataFrame, **options) -> DataFrame:
     """Each row's doc_id, n_shingles and component_id, linking sets with 100 * intersection >= ``percent`` * union."""
+    return jaccard_rows(documents, **options).select("doc_id", "n_shingles", "component_id")
+
+
+def with_label(documents: DataFrame, name: str, n: int = 5) -> DataFrame:
+    """Adds each row's class, 0 for none, which tells rows of one doc_id apart."""
+    schema = documents.limit(0).schema.add(name, "long")
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(document_sets(part["text"], n)[2].astype(np.int64))], schema.names)
+
+    return documents.mapInArrow(label, schema)
+
+
+def jaccard_rows(documents: DataFrame, n: int = 5, percent: int = 75, extra: int = 9) -> DataFrame:
+    """Each row's doc_id, n_shingles, component_id, class (``label``, 0 if it has no words) and group of linked classes (``part``, null if it has none)."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
     documents = documents.select("doc_id", "text")
@@ -227,8 +244,8 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 75, extr
     named = scratch.keep(named, "named")
     scratch.drop("classes", "left", "sets", "open", *(f"{a}-{b}" for a in ("pairs", "links", "parts", "prefixes") for b in ("fold", *range(_ROUNDS + 1))))
     ids = named.groupBy("part").agg(F.min("rep").alias("component_id"))
-    named = named.join(ids, "part").select("label", "component_id")
-    return info.join(named, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = named.join(ids, "part").select("label", "part", "component_id")
+    return info.join(named, "label", "left").select("doc_id", "label", "part", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _sets(documents: DataFrame, left: DataFrame, n: int) -> DataFrame:

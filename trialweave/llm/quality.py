@@ -128,8 +128,9 @@ def fit_quality(documents: DataFrame, labels: DataFrame, max_labels: int = 20_00
                 yield pa.RecordBatch.from_arrays([part["quality"].cast(pa.int64()), *(pa.array(x[:, j]) for j in range(x.shape[1]))], ["quality", *FEATURES])
 
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality")
-    got = rows.mapInArrow(stats, "quality long, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
-    got = got.sort_values(list(got.columns))  # the fit must not depend on the order in which tasks end
+    # an id may repeat: the bound holds for rows too, and the fit must not depend on the order in which tasks end
+    got = rows.mapInArrow(stats, "quality long, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = got.orderBy(F.xxhash64("quality", *FEATURES), "quality", *FEATURES).limit(max_labels).toPandas()
     return boosting.fit(got[list(FEATURES)].to_numpy(), (got["quality"].to_numpy() > 0).astype(float), MONOTONE, **options)
 
 
