@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .common import Scratch
 from .tokens import U, chunks, text_bytes
 
 #: A-Z to lower case, and every white space to a blank.
@@ -146,16 +147,19 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labels: int = 20_0
         some = np.flatnonzero(seen.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0, some]), pa.array(seen[1, some])], ["feature", "clean", "toxic"])
 
-    got = rows.mapInArrow(count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    got = got.filter(f"clean + toxic >= 3 or feature = {1 << bits}").toPandas().sort_values("feature").to_numpy()
+    counts = rows.mapInArrow(count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = Scratch(documents.sparkSession, "toxicity").keep(counts, "counts")
+    texts = counts.filter(F.col("feature") == 1 << bits).first()
+    clean, toxic = (texts["clean"], texts["toxic"]) if texts else (0, 0)
     weight = np.zeros(1 << bits, np.float32)
-    clean, toxic = (int(got[-1, 1]), int(got[-1, 2])) if len(got) else (0, 0)
     if not clean or not toxic:
         return Model(bits, orders, float(np.log((toxic + 1) / (clean + 1))), weight)
-    feature, a, b = got[:-1, 0], got[:-1, 1], got[:-1, 2]
-    ratio, rank = _ranked(a, b, clean, toxic, alpha)
-    best = np.flatnonzero(rank < max(keep for keep, _ in grid))
-    kept, ratio, rank = feature[best], ratio[best], rank[best]
+    share = (F.col("clean") + F.col("toxic")) / (clean + toxic)
+    z = (F.col("toxic") - toxic * share) / F.sqrt(F.greatest(toxic * share * (1 - share) * clean / (clean + toxic), F.lit(1e-9)))
+    best = counts.filter((F.col("feature") < 1 << bits) & (F.col("clean") + F.col("toxic") >= 3)).orderBy(F.round(F.abs(z), 9).desc(), "feature")
+    best = best.limit(max(keep for keep, _ in grid)).toPandas().sort_values("feature")
+    kept = best["feature"].to_numpy()
+    ratio, rank = _ranked(best["clean"].to_numpy(), best["toxic"].to_numpy(), clean, toxic, alpha)
     wanted = np.zeros(1 << bits, bool)
     wanted[kept] = True
 
