@@ -180,14 +180,23 @@ def strip_thinking(text) -> Column:
     return F.trim(F.substring_index(closed, "<think>", 1))
 
 
+# How a text says an age, and a sex.
+AGE_PATTERNS = (
+    r"(?i)(\d{1,3})\s*[- ]?\s*year[\s-]*old",
+    r"(?i)(\d{1,3})\s*[- ]?\s*(?:yo|y/o|yr)\b",
+    r"\b(\d{1,3})\s*[- ]?\s*(?:M|F|male|female|man|woman)\b",
+)
+FEMALE_PATTERN = r"(?i)\b(?:female|woman|girl|lady|\d{1,3}\s*F)\b"
+MALE_PATTERN = r"(?i)\b(?:male|man|boy|gentleman|\d{1,3}\s*M)\b"
+
+
 def demographics_from_text(text) -> Column:
-    """struct(age, gender): the first plausible age (1 to 120), and the sex that is mentioned first."""
-    t = casefold(F.coalesce(col(text), F.lit("")))
-    patterns = (r"\b(\d{1,3})[- ]?(?:years?|yrs?)[- ]old\b", r"\b(\d{1,3})\s*(?:y/?o|yo)\b", r"\bage[d]?\s*(?:of\s*)?(\d{1,3})\b")
-    ages = [F.try_to_number(F.nullif(F.regexp_extract(t, p, 1), F.lit("")), F.lit("999")).cast("int") for p in patterns]
+    """struct(age, gender): the age by the first pattern that gives one of 1 to 120 years, and the sex that is mentioned first."""
+    t = F.coalesce(col(text), F.lit(""))
+    ages = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")).cast("int") for p in AGE_PATTERNS]
     age = F.coalesce(*[F.when(a.between(1, 120), a) for a in ages])
-    word = F.regexp_extract(t, r"\b(woman|female|girl|lady|man|male|boy|gentleman)\b", 1)
-    gender = F.when(word.isin("woman", "female", "girl", "lady"), "Female").when(word != "", "Male")
+    female, male = F.regexp_instr(t, F.lit(FEMALE_PATTERN)), F.regexp_instr(t, F.lit(MALE_PATTERN))
+    gender = F.when((female > 0) & ((male == 0) | (female < male)), "Female").when(male > 0, "Male")
     return F.struct(age.alias("age"), gender.alias("gender"))
 
 

@@ -191,12 +191,14 @@ def vector_score(spark, d):
     return rows.select("vec_id", _r(vectors.cosine("embedding", "qv")).alias("cosine"), _r(vectors.dot("embedding", "qv")).alias("dot"), _r(vectors.vector_score("embedding", "qv")).alias("score"))
 
 
-@query(f"""with {_LABEL_QUERY}, s as (select q.label as query_label, e.vec_id, list_cosine_similarity(e.embedding::double[], q.qv::double[]) as c from embeddings e cross join q),
-r as (select *, row_number() over (partition by query_label order by c desc, vec_id) as rk from s) select query_label, vec_id, rk as rank, round(c,6) as score from r where rk<=10""")
+@query("""with q as (select vec_id as query_id, embedding::double[] as qv from embeddings where vec_id%20=0), s as (select query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], qv) as c from embeddings e cross join q),
+r as (select *, row_number() over (partition by query_id order by round(c,9) desc, vec_id) as rk from s) select query_id, vec_id, rk as rank, round(c,6) as score from r where rk<=10""")
 def topk_vectors(spark, d):
-    queries = _label_queries(spark, d).withColumnRenamed("label", "query_label")
-    pairs = _t(spark, d, "embeddings").select("vec_id", "embedding").crossJoin(F.broadcast(queries)).withColumn("c", vectors.cosine("embedding", "qv"))  # a query per label
-    return fusion.ranked(pairs, ["query_label"], [F.col("c").desc(), "vec_id"], 10).select("query_label", "vec_id", F.col("rank").cast("long").alias("rank"), _r("c").alias("score"))
+    """Exact neighbours of every row whose id is divisible by 20 (the stated query set), among all rows."""
+    rows = _t(spark, d, "embeddings")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    out = vectors.nearest(rows, "vec_id", "embedding", asked, "query_id", "qv", 10)
+    return out.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), _r("cosine").alias("score"))
 
 
 @query(f"with {_LABEL_QUERY} select vec_id, round(list_sum(list_transform(range(1,65), lambda i: (embedding[i]::double+qv[i]::double)/2*i)),4) as weighted from embeddings join q using (label)")
@@ -303,14 +305,14 @@ def agg_rrf_channels(spark, d):
     return out.select("o_custkey", "nct_id", F.col("rank").cast("long").alias("rank"), _r("score").alias("score"), F.size("channels").cast("long").alias("n_channels"))
 
 
-_TWO = """a as (select o_custkey, o_orderkey as nct, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r1, o_totalprice/1000000 as s1 from orders where o_orderkey%3<>0),
-b as (select o_custkey, o_orderkey as nct, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as r2, (o_orderkey%97)/97.0 as s2 from orders where o_orderkey%4<>0)"""
+_TWO = """a as (select o_custkey, o_orderkey as nct, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r1, o_totalprice/1000000 as s1 from orders where o_orderpriority<>'1-URGENT'),
+b as (select o_custkey, o_orderkey as nct, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as r2, (o_orderkey%97)/97.0 as s2 from orders where o_orderstatus<>'P')"""
 
 
 def _two_lists(spark, d):
     o = _t(spark, d, "orders").withColumn("nct_id", F.col("o_orderkey"))
-    a = fusion.ranked(o.filter("o_orderkey % 3 <> 0"), ["o_custkey"], [F.col("o_totalprice").desc(), "o_orderkey"]).withColumn("score", F.col("o_totalprice") / 1000000)
-    b = fusion.ranked(o.filter("o_orderkey % 4 <> 0"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).withColumn("score", (F.col("o_orderkey") % 97) / 97.0)
+    a = fusion.ranked(o.filter("o_orderpriority <> '1-URGENT'"), ["o_custkey"], [F.col("o_totalprice").desc(), "o_orderkey"]).withColumn("score", F.col("o_totalprice") / 1000000)
+    b = fusion.ranked(o.filter("o_orderstatus <> 'P'"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).withColumn("score", (F.col("o_orderkey") % 97) / 97.0)
     return a, b
 
 
@@ -381,6 +383,52 @@ def search_trials_with_plan(spark, d):
     return out.select("patient_id", "nct_id", F.col("rank").cast("long").alias("rank"), _r("score").alias("score"))
 
 
+_HYBRID_SQL = """with tk as (select doc_id, regexp_extract_all(replace(lower(text),'ß','ss'),'[a-z0-9]+') as t from documents), dl as (select doc_id, len(t) as dl, len(list_distinct(t)) as nd, array_to_string(t,' ') as norm from tk), st as (select count(*)::double as n, avg(dl) as avgdl from dl),
+p as (select term, doc_id, count(*) as tf from (select doc_id, unnest(t) as term from tk) group by 1,2), df as (select term, count(*) as df from p group by 1),
+ch as (select item_id, regexp_extract_all(replace(lower(text),'ß','ss'),'[a-z0-9]+') as q from benchmark), qt as (select distinct item_id, unnest(q) as term from ch),
+s as (select item_id, doc_id, sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*dl/avgdl))) as bm25, count(*)::double as m from qt join p using (term) join df using (term) join dl using (doc_id), st group by 1,2),
+k as (select *, row_number() over (partition by item_id order by round(bm25,9) desc, doc_id) as rk from s),
+qv as (select item_id, embedding::double[] as qv from benchmark join embeddings on vec_id=item_id), v as (select item_id, vec_id as doc_id, list_cosine_similarity(embedding::double[], qv) as c from embeddings, qv where vec_id in (select doc_id from documents)),
+vk as (select *, row_number() over (partition by item_id order by round(c,9) desc, doc_id) as rk from v), a as (select item_id, doc_id, bm25 from k where rk<=100), b as (select item_id, doc_id from vk where rk<=100),
+cand as (select item_id, doc_id, bm25 from a full outer join b using (item_id, doc_id)),
+x as (select cand.*, coalesce(m,0)::double as m, len(list_distinct(q))::double as nq, nd::double as nd, norm, array_to_string(q,' ') as asked, min(cand.bm25) over w as lo, max(cand.bm25) over w as hi, coalesce(greatest(0,least(1,(c+1)/2)),0)::double as vec from cand join ch using (item_id) join dl using (doc_id) left join s using (item_id, doc_id) left join v using (item_id, doc_id) window w as (partition by cand.item_id)),
+l as (select *, case when m=0 then 0.0 when norm=asked then 1.0 when contains(' '||norm||' ',' '||asked||' ') then 0.95 else least(1.0, 0.75*m/nq+0.25*m/(nq+nd-m)) end as lex, case when bm25 is null then null when hi>lo then (bm25-lo)/(hi-lo) else 1.0 end as sc from x),
+f as (select *, 0.5*case when sc is null then lex else greatest(0,least(1,0.6*sc+0.4*lex)) end+0.5*vec as score from l), r as (select *, row_number() over (partition by item_id order by round(score::double,9) desc, doc_id) as rk from f where vec>=0.5 and score>0)
+select item_id as patient_id, doc_id as nct_id, rk as rank, round(score::double,6) as score from r where rk<=20"""
+
+
+@query(_HYBRID_SQL)
+def hybrid_search(spark, d):
+    """Every benchmark item against the documents, by text and by the embeddings of equal ids."""
+    v = _t(spark, d, "embeddings")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("nct_id"), F.col("text").alias("search_text")).join(v.select(F.col("vec_id").alias("nct_id"), F.col("embedding").alias("search_vector")), "nct_id", "left")
+    channels = _t(spark, d, "benchmark").join(v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector")), "item_id", "left")
+    channels = channels.select(F.col("item_id").alias("patient_id"), F.lit(0).alias("channel_idx"), F.lit("primary_condition").alias("kind"), F.lit(1.0).alias("weight"), F.array("text").alias("terms"), "query_vector")
+    hits = retrieval.hybrid_channels(docs, channels, retrieval.build_bm25(docs, "nct_id", "search_text"), 20, 100, threshold=0.5)
+    return hits.select("patient_id", "nct_id", F.col("rank").cast("long").alias("rank"), _r("score").alias("score"))
+
+
+def _lex_sql(a: str, b: str) -> str:
+    same, na, nb = f"len(list_intersect({a},{b}))::double", f"len(list_distinct({a}))::double", f"len(list_distinct({b}))::double"
+    return f"case when {a}={b} then 1.0 when contains(' '||array_to_string({b},' ')||' ',' '||array_to_string({a},' ')||' ') then 0.95 when {same}>0 then least(1.0,0.75*{same}/{na}+0.25*{same}/({na}+{nb}-{same})) else 0.0 end"
+
+
+@query(f"""with q as (select n_nationkey as patient_id, string_split([{','.join(repr(t) for t in _TERMS)}][n_nationkey%5+1],' ') as q, embedding::double[] as qv from nation left join embeddings on vec_id=n_nationkey),
+c as (select p_size as nct_id, p_partkey as criteria_id, regexp_extract_all(lower(p_name),'[a-z0-9]+') as f1, regexp_extract_all(lower(p_brand),'[a-z0-9]+') as f2, regexp_extract_all(lower(p_type),'[a-z0-9]+') as f3, embedding::double[] as cv from part left join embeddings on vec_id=p_partkey),
+x as (select patient_id, nct_id, criteria_id, least(1.0,(1.0*{_lex_sql('q','f1')}+1.2*{_lex_sql('q','f2')}+0.8*{_lex_sql('q','f3')})/3.0)::double as ts, coalesce(greatest(0,least(1,(list_cosine_similarity(cv,qv)+1)/2)),0)::double as vec from (select distinct s_nationkey as patient_id, s_suppkey as nct_id from supplier) join c using (nct_id) join q using (patient_id)),
+r as (select *, 0.5*ts+0.5*vec as score, row_number() over (partition by patient_id order by round(0.5*ts+0.5*vec,9) desc, criteria_id) as rk from x where vec>=0.5 and 0.5*ts+0.5*vec>0) select patient_id, nct_id, criteria_id, rk as rank, round(ts,6) as text_score, round(score,6) as score from r where rk<=30""")
+def criteria_search(spark, d):
+    """Nations as patients, their suppliers as shortlisted trials, parts as criteria with entities and vectors."""
+    v = _t(spark, d, "embeddings")
+    term = F.element_at(F.array(*[F.lit(t) for t in _TERMS]), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    queries = _t(spark, d, "nation").select(F.col("n_nationkey").alias("patient_id"), F.lit(0).alias("query_idx"), term.alias("query")).join(v.select(F.col("vec_id").alias("patient_id"), F.col("embedding").alias("query_vector")), "patient_id", "left")
+    scope = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("patient_id"), F.col("s_suppkey").alias("nct_id"))
+    rows = _t(spark, d, "part").select(F.col("p_size").alias("nct_id"), F.col("p_partkey").alias("criteria_id"), F.col("p_name").alias("criterion"), F.col("p_brand").alias("entity_synonyms_text"), F.col("p_type").alias("entity_text"))
+    rows = rows.join(v.select(F.col("vec_id").alias("criteria_id"), F.col("embedding").alias("criterion_vector")), "criteria_id", "left")
+    out = retrieval.criteria_hits(queries, scope, rows, size=30)
+    return out.select("patient_id", "nct_id", "criteria_id", F.col("rank").cast("long").alias("rank"), _r("text_score").alias("text_score"), _r("score").alias("score"))
+
+
 # criteria, constraints, ranking -----------------------------------------------------------------------------
 
 
@@ -441,6 +489,23 @@ def agg_rank_blend(spark, d):
     return ranking.blend_ranks(rows, "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", _r("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""with {_BANDS}, n as (select l_orderkey, count(*) as n from lineitem group by 1), x as (select o_custkey, o_orderkey, case when o_orderstatus='P' then -1.0 else band end as band, o_totalprice as rr, round(1.0/(60+row_number() over (partition by o_custkey order by o_orderdate, o_orderkey)),9)::double as fl from orders join v on l_orderkey=o_orderkey),
+bd as (select distinct o_custkey, band from x), g as (select o_custkey, coalesce(min(gap),1.0) as gap from (select o_custkey, band-lag(band) over (partition by o_custkey order by band) as gap from bd) group by 1),
+s as (select x.o_custkey, o_orderkey, rr, fl, round_even(band+(rr-min(rr) over w)/case when max(rr) over w>min(rr) over w then max(rr) over w-min(rr) over w else 1 end*0.9*gap,10) as score from x join g using (o_custkey) window w as (partition by x.o_custkey))
+select o_custkey, o_orderkey, round(score,6) as score, row_number() over (partition by o_custkey order by score desc, rr desc, fl desc, o_orderkey) as rank from s""")
+def final_ranking(spark, d):
+    """From a model's raw answers to the final order: orders as shortlisted trials, their lines as verdicts, unreadable answers as errors."""
+    li, o = _t(spark, d, "lineitem"), _t(spark, d, "orders")
+    verdict = F.struct(F.lit("c").alias("Criterion"), F.when(F.col("l_returnflag") == "A", "**Met**").when(F.col("l_returnflag") == "R", "Not Met.").otherwise(" unclear ").alias("Classification"), F.lit("").alias("Justification"))
+    excluded = F.when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") >= 6), F.struct(F.lit("c").alias("Criterion"), F.lit("Violated.").alias("Classification"), F.lit("").alias("Justification")))
+    said = li.groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(verdict).alias("Inclusion_Criteria_Evaluation"), F.collect_list(excluded).alias("Exclusion_Criteria_Evaluation"))).alias("json"))
+    pairs = o.join(said, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").alias("nct_id"), "o_totalprice", "o_orderdate", "o_orderstatus", "json")
+    answers = pairs.select("patient_id", "nct_id", F.when(F.col("o_orderstatus") == "P", "I can't say {").otherwise(F.concat(F.lit("<think>well {}</think>Here: "), "json", F.lit(" That is all."))).alias("answer"))
+    first = fusion.ranked(pairs, ["patient_id"], ["o_orderdate", "nct_id"]).select("patient_id", "nct_id", F.round(1.0 / (60 + F.col("rank")), 9).alias("score"))
+    out = matching.ranked_trials(answers, pairs.select("patient_id", "nct_id", F.col("o_totalprice").alias("score")), first)
+    return out.select(F.col("patient_id").alias("o_custkey"), F.col("nct_id").alias("o_orderkey"), _r("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("""with e as (select l_orderkey, l_linenumber, l_suppkey, case when l_quantity>=p_size then 'satisfied' else 'unsatisfied' end as rel, case when l_returnflag='R' then 'exclusion' else 'inclusion' end as pol from lineitem join part on l_partkey=p_partkey),
 s as (select *, case when rel='satisfied' then case when pol='exclusion' then 'violated' else 'matched' end else case when pol='exclusion' then 'matched' else 'violated' end end as status, case when rel='satisfied' then case when pol='exclusion' then -1.0 else 1.0 end else case when pol='exclusion' then 0.25 else -0.6 end end as signal from e)
 select status, pol as polarity, count(*)::bigint as n, round(sum(signal)::double,4) as total from s group by 1,2""")
@@ -567,13 +632,13 @@ def agg_latest_manifest(spark, d):
     return upsert.latest(rows, "user_id", ["ts", "event_id"]).select("user_id", F.col("event_type").alias("status"), F.lit(True).alias("seen"))
 
 
-_FEED = "inc as (select user_id as id, props as h, event_id as pos from events where event_id%2=0), man as (select user_id as id, arg_max(props,event_id) as h, arg_max(case event_type when 'click' then 'indexed' else 'failed' end, event_id) as st from events where event_id%2=1 and user_id%3<>0 group by 1), c as (select inc.*, man.h as mh, st, row_number() over (partition by inc.id order by pos) as n from inc left join man using (id)), u as (select *, case when n>1 then 'duplicate' when mh=h and st='indexed' then 'unchanged' when mh is null then 'new' else 'changed' end as s from c)"
+_FEED = "inc as (select user_id as id, props as h, event_id as pos from events where event_type in ('click','view')), man as (select user_id as id, arg_max(props,event_id) as h, arg_max(case event_type when 'click' then 'indexed' else 'failed' end, event_id) as st from events where value>=30 group by 1), c as (select inc.*, man.h as mh, st, row_number() over (partition by inc.id order by pos) as n from inc left join man using (id)), u as (select *, case when n>1 then 'duplicate' when mh=h and st='indexed' then 'unchanged' when mh is null then 'new' else 'changed' end as s from c)"
 
 
 def _feed(spark, d):
     e = _t(spark, d, "events")
-    inc = e.filter("event_id % 2 = 0").select(F.col("user_id").alias("nct_id"), F.col("props").alias("source_hash"), F.col("event_id").alias("position"))
-    old = e.filter("event_id % 2 = 1 and user_id % 3 <> 0").select(F.col("user_id").alias("nct_id"), F.col("props").alias("source_hash"), F.when(F.col("event_type") == "click", "indexed").otherwise("failed").alias("processing_status"), "event_id")
+    inc = e.filter("event_type in ('click', 'view')").select(F.col("user_id").alias("nct_id"), F.col("props").alias("source_hash"), F.col("event_id").alias("position"))
+    old = e.filter("value >= 30").select(F.col("user_id").alias("nct_id"), F.col("props").alias("source_hash"), F.when(F.col("event_type") == "click", "indexed").otherwise("failed").alias("processing_status"), "event_id")
     return upsert.classify(inc, upsert.latest(old, "nct_id", ["event_id"]))
 
 
@@ -594,18 +659,18 @@ def sink_upsert_trials(spark, d):
     return upsert.upserted(c, changes, "c_custkey")
 
 
-@query("select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus='P') union all select o_orderkey, 99, 0.0 from orders where o_orderstatus='P' and o_orderkey%2=0")
+@query("select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus='P') union all select o_orderkey, 99, 0.0 from orders where o_orderstatus='P' and o_orderpriority<>'5-LOW'")
 def sink_replace_criteria(spark, d):
     o = _t(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    new = o.filter("l_orderkey % 2 = 0").withColumns({"l_linenumber": F.lit(99), "l_quantity": F.lit(0.0)})
+    new = _t(spark, d, "orders").filter("o_orderstatus = 'P' and o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("l_orderkey")).withColumns({"l_linenumber": F.lit(99), "l_quantity": F.lit(0.0)})
     return upsert.replaced(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), o, new, "l_orderkey")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus='P')")
 def anti_pending(spark, d):
     from .plans.stages import pending
 
-    return pending(_t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    return pending(_t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").filter("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 @query("select event_id, case when event_id%4=3 then null else ts::date end as day from events where event_id%4=3 or ts::date>=date '2024-01-02'")
@@ -652,7 +717,7 @@ def join_report(spark, d):
 def _conversation_patients(spark, d):
     """Conversations as patients: user turns are conditions, assistant turns observations."""
     c = _t(spark, d, "conversations")
-    label = text.collapse(F.substring_index("text", ".", 1))
+    label = text.collapse("text")
     facts = c.filter("role <> 'system'").select(F.col("conv_id").alias("patient_id"), F.when(F.col("role") == "user", "conditions").otherwise("observations").alias("bucket"), F.col("turn").alias("ordinal"), label.alias("label"), F.lit(None).cast("string").alias("temporality"), (F.col("turn") % 5 == 4).alias("negated"), F.lit(None).cast("string").alias("evidence_text"), F.array().cast("array<string>").alias("codes"))
     return c.select(F.col("conv_id").alias("patient_id"), F.lit(None).cast("int").alias("age"), F.lit(None).cast("string").alias("sex")).distinct(), facts.filter("label <> ''")
 
@@ -760,11 +825,12 @@ def normalise_verdicts(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", plain.alias("x"), text.norm_classification(F.concat(F.lit(" **"), plain, F.lit("**."))).alias("verdict"), text.strip_thinking(said).alias("answer"))
 
 
-@query("""select c_custkey, case when c_custkey%4=3 then null else (c_custkey%90)+1 end::int as age, case when c_custkey%4=3 then null when c_custkey%2=0 then 'Female' else 'Male' end as gender from customer""")
+@query("""select c_custkey, case when c_custkey%6=5 then null else (c_custkey%90)+1 end::int as age, case when c_custkey%6=5 then null when c_custkey%6 in (1,4) then 'Male' when c_custkey%6=2 then 'Female' when c_custkey%2=0 then 'Female' else 'Male' end as gender from customer""")
 def demographics_from_text(spark, d):
     k, n = F.col("c_custkey"), (F.col("c_custkey") % 90 + 1).cast("string")
     who = F.when(k % 2 == 0, "woman").otherwise("man")
-    said = F.when(k % 4 == 0, F.concat(F.lit("A "), n, F.lit("-year-old "), who)).when(k % 4 == 3, F.lit("No details.")).when(k % 4 == 1, F.concat(F.lit("This "), who, F.lit(", aged "), n)).otherwise(F.concat(n, F.lit(" yo "), who, F.lit(" and her son, a boy")))
+    said = F.when(k % 6 == 0, F.concat(F.lit("A "), n, F.lit("-year-old "), who, F.lit(" with a male partner"))).when(k % 6 == 1, F.concat(n, F.lit(" M with cough")))
+    said = said.when(k % 6 == 2, F.concat(F.lit("A "), n, F.lit(" F presents"))).when(k % 6 == 3, F.concat(n, F.lit("yr "), who)).when(k % 6 == 4, F.concat(n, F.lit(" y/o gentleman and his daughter, a girl"))).otherwise("No details.")
     got = _t(spark, d, "customer").select("c_custkey", text.demographics_from_text(said).alias("g"))
     return got.select("c_custkey", "g.age", "g.gender")
 
