@@ -7,8 +7,8 @@ row per source. Documents are then taken in a seeded order (a hash of doc_id and
 with whole repetitions for every document and one more for the documents at the head of the order, up
 to the point where the source's words come nearest to its target.
 
-That point is found without sorting a source: words are summed per source and 15-bit slice of the
-hash, the slice in which the target falls is summed again by its next 15 bits, and so on. Every sum
+That point is found without sorting a source: words are summed per source and 12-bit slice of the
+hash, the slice in which the target falls is summed again by its next 12 bits, and so on. Every sum
 is combined on the map side, so a source that holds a third of all rows costs no more than others.
 
 Empty and null texts have size 0. A null source is a source of its own and comes last. Rows that repeat
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch, joined
 
 #: Bits of the seeded order that one level looks at, and the levels, which reach into the bits that break ties.
-_BITS, _LEVELS, _TIE_BITS = 15, 4, 16
+_BITS, _LEVELS, _TIE_BITS = 12, 5, 16
 
 
 def water_fill(sizes: dict, weights: dict, budget: float, max_epochs: float) -> dict:
