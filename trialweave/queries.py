@@ -8,6 +8,8 @@ All queries read whole tables and whole texts.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,10 +17,11 @@ from pyspark.sql import functions as F
 
 from .functions import dates, scores, text, vectors
 from .operators import chunking, constraints, criteria, entities, filters, fusion, linking, metrics, ranking, reasoning, retrieval, upsert
+from .plans import index as stored
 from .plans import matching, planner
 from .shipping import ship
+from .sources import concepts, sinks
 from .sources import patients as people
-from .sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,6 +42,19 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for tables that a query writes: below spark.checkpoint.dir, or (unset, in local mode only) a temporary one. It goes with the application."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root or 'file://' + tempfile.gettempdir()}/trialweave-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return fs.makeQualified(path).toString()
+
+
 def _r(c, n: int = 6):
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
@@ -359,6 +375,20 @@ def bm25_search(spark, d):
     return retrieval.bm25_search(index, queries, ["item_id"], "doc_id", 20).select("item_id", "doc_id", F.col("rank").cast("long").alias("rank"), _r("bm25").alias("bm25"))
 
 
+@query(f"with {_BM25}, r as (select *, row_number() over (partition by item_id order by round(bm25,9) desc, doc_id) as rk from s) select item_id, doc_id, rk as rank, round(bm25,6) as bm25 from r where rk<=20")
+def index_search(spark, d):
+    """The same search through a stored index, which the second call finds and leaves alone."""
+    folder = _folder(spark)
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("nct_id"), F.col("text").alias("search_text"))
+    rows = docs.select("nct_id", F.substring("search_text", 1, 40).alias("criterion"))
+    first = stored.build_index(docs, rows, folder, "hashing-64")
+    found = stored.build_index(docs, rows, folder, "hashing-64")
+    if not first.built or found.built:
+        raise RuntimeError("the index was built twice, or not at all")
+    queries = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    return retrieval.bm25_search(found.bm25, queries, ["item_id"], "nct_id", 20).select("item_id", F.col("nct_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), _r("bm25").alias("bm25"))
+
+
 _PLAN_SQL = """with tk as (select doc_id, regexp_extract_all(replace(lower(text),'ß','ss'),'[a-z0-9]+') as t from documents), dl as (select doc_id, len(t) as dl, len(list_distinct(t)) as nd, array_to_string(t,' ') as norm from tk), st as (select count(*)::double as n, avg(dl) as avgdl from dl),
 p as (select term, doc_id, count(*) as tf from (select doc_id, unnest(t) as term from tk) group by 1,2), df as (select term, count(*) as df from p group by 1),
 ch as (select item_id, 0 as c, 1.0 as w, regexp_extract_all(replace(lower(text),'ß','ss'),'[a-z0-9]+') as q from benchmark union all select item_id, 1, 0.35, regexp_extract_all(replace(lower(string_split(text,'.')[1]),'ß','ss'),'[a-z0-9]+') from benchmark),
@@ -506,14 +536,26 @@ def final_ranking(spark, d):
     return out.select(F.col("patient_id").alias("o_custkey"), F.col("nct_id").alias("o_orderkey"), _r("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("""with e as (select l_orderkey, l_linenumber, l_suppkey, case when l_quantity>=p_size then 'satisfied' else 'unsatisfied' end as rel, case when l_returnflag='R' then 'exclusion' else 'inclusion' end as pol from lineitem join part on l_partkey=p_partkey),
-s as (select *, case when rel='satisfied' then case when pol='exclusion' then 'violated' else 'matched' end else case when pol='exclusion' then 'matched' else 'violated' end end as status, case when rel='satisfied' then case when pol='exclusion' then -1.0 else 1.0 end else case when pol='exclusion' then 0.25 else -0.6 end end as signal from e)
-select status, pol as polarity, count(*)::bigint as n, round(sum(signal)::double,4) as total from s group by 1,2""")
+@query("""with c as (select p_partkey as id, p_size, p_type, case when p_partkey%2=0 then 'exclusion' else 'inclusion' end as pol, case when p_partkey%3=0 then 'lab' when p_partkey%3=1 then 'age' else 'condition' end as kind from part),
+p as (select s_suppkey as pid, s_nationkey, case when s_suppkey%5=0 then null else s_suppkey%90 end as age from supplier),
+f as (select l_suppkey as pid, l_partkey as id, max(l_quantity) as q, bool_or(l_returnflag='R') as neg from lineitem group by 1,2),
+x as (select pol, kind, case when kind='age' then case when age is null then 'unknown' when age>=p_size then 'satisfied' else 'unsatisfied' end when kind='lab' then case when f.pid is null then 'unknown' when neg then 'unsatisfied' when q>=p_size then 'satisfied' else 'unsatisfied' end else case when f.pid is not null and not neg then 'satisfied' else 'absent' end end as rel from p join c on c.id%25=p.s_nationkey left join f on f.pid=p.pid and f.id=c.id),
+s as (select kind, pol, case when rel='satisfied' then case when pol='exclusion' then 'violated' else 'matched' end when rel='unsatisfied' then case when pol='exclusion' then 'matched' else 'violated' end when rel='absent' and pol='exclusion' then 'matched' else 'unknown' end as status, case when rel='satisfied' then case when pol='exclusion' then -1.0 else 1.0 end when rel='unsatisfied' then case when pol='exclusion' then 0.25 else -0.6 end when rel='absent' and pol='exclusion' then 0.25 else 0.0 end as signal from x)
+select kind, pol as polarity, status, count(*) as n, round(sum(signal)::double,4) as total from s group by 1,2,3""")
 def evaluate_constraint(spark, d):
-    rows = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    ok = scores.compare_numeric("l_quantity", F.lit("ge"), "p_size")
-    rows = rows.select(F.when(ok, "satisfied").otherwise("unsatisfied").alias("relation"), F.when(F.col("l_returnflag") == "R", "exclusion").otherwise("inclusion").alias("polarity"))
-    return constraints.status_and_signal(rows).groupBy("status", "polarity").agg(F.count("*").alias("n"), F.round(F.sum("signal"), 4).alias("total"))
+    """Parts as criteria (a lab value, an age or a condition), suppliers as patients, their items as facts with the part's code."""
+    n = F.col("p_partkey")
+    kind = F.when(n % 3 == 0, "lab").when(n % 3 == 1, "age").otherwise("condition")
+    empty = {"value_str": "string", "unit": "string", "min_value": "double", "max_value": "double", "evidence_text": "string"}
+    c = F.struct(kind.alias("kind"), F.concat(F.lit("part "), n).alias("label"), F.when(kind != "condition", "ge").alias("comparator"), F.col("p_size").cast("double").alias("value_num"), *[F.lit(None).cast(t).alias(k) for k, t in empty.items()], F.array(F.concat(F.lit("P:"), n)).alias("codes"))
+    rules = _t(spark, d, "part").select((n % 25).alias("s_nationkey"), n.alias("criteria_id"), n.alias("nct_id"), F.when(n % 2 == 0, "exclusion").otherwise("inclusion").alias("eligibility_type"), F.array(c).alias("constraints"))
+    people_ = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("patient_id"), "s_nationkey", F.when(F.col("s_suppkey") % 5 != 0, F.col("s_suppkey") % 90).alias("age"), F.lit(None).cast("string").alias("sex"))
+    items = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("patient_id"), F.col("l_partkey").alias("p")).agg(F.max("l_quantity").cast("double").alias("value"), F.bool_or(F.col("l_returnflag") == "R").alias("negated"))
+    of = F.when(F.col("p") % 3 == 0, "lab").when(F.col("p") % 3 == 2, "condition").otherwise("other")
+    facts = items.select("patient_id", of.alias("kind"), F.lit("item").alias("label"), "value", F.lit(None).cast("string").alias("unit"), "negated", F.lit(None).cast("string").alias("evidence_text"), F.array(F.concat(F.lit("p:"), "p")).alias("codes"))
+    scoped = rules.join(people_.select("patient_id", "s_nationkey"), "s_nationkey")
+    out = constraints.evaluate(scoped, people_, facts)
+    return out.groupBy("kind", "polarity", "status").agg(F.count("*").alias("n"), F.round(F.sum("signal"), 4).alias("total"))
 
 
 @query("""with s as (select l_orderkey as criteria_id, l_suppkey as nct_id, case l_returnflag when 'A' then 1.0 when 'R' then -0.6 else 0.0 end as signal, case l_returnflag when 'A' then 'matched' when 'R' then 'violated' else 'unknown' end as status from lineitem)
@@ -705,13 +747,13 @@ def join_omop_location(spark, d):
     return people.import_omop(_omop(spark, d), "2024-01-01").patients.select("patient_id", F.col("age").cast("int").alias("age"), "sex", "country")
 
 
-@query("select c.c_custkey, n_name, o.n as n_orders from customer c left join nation on c_nationkey=n_nationkey left join (select o_custkey, count(*) as n from orders group by 1) o on o_custkey=c_custkey")
+@query("select c.c_custkey, n_name, o.n as n_orders, 1::bigint as rank from customer c left join nation on c_nationkey=n_nationkey left join (select o_custkey, count(*) as n from orders group by 1) o on o_custkey=c_custkey")
 def join_report(spark, d):
     ranked = _t(spark, d, "customer").select(F.col("c_custkey").alias("patient_id"), F.col("c_nationkey").alias("nct_id"))
     orders = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("patient_id")).agg(F.count("*").alias("n_orders"))
     verdicts = ranked.join(orders, "patient_id").select("patient_id", "nct_id", "n_orders")
     meta = _t(spark, d, "nation").select(F.col("n_nationkey").alias("nct_id"), "n_name", F.array(F.lit(0.0)).alias("x_vector"))
-    return sinks.report_rows(ranked, verdicts, meta).select(F.col("patient_id").alias("c_custkey"), "n_name", "n_orders")
+    return sinks.report_rows(ranked, verdicts, meta).select(F.col("patient_id").alias("c_custkey"), "n_name", "n_orders", F.col("rank").cast("long").alias("rank"))
 
 
 def _conversation_patients(spark, d):
@@ -773,6 +815,100 @@ def recognize(spark, d):
     return entities.recognize(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(F.coalesce("annotations", F.array().cast(entities._SPAN))).alias("n_spans"))
 
 
+_NOTE = "p_name||' Cancer and '||case when p_size%2=0 then 'ASPIRIN' else 'metformin' end||case when p_size%3=0 then ', EGFR after biopsy.' else ', BRCA1.' end"
+_SCHEMA_PATTERNS = "|".join(s[4] for s in entities.SCHEMAS.values())
+
+
+def _notes(spark, d):
+    """Part names with mentions of diseases, medications, genes and procedures."""
+    drug = F.when(F.col("p_size") % 2 == 0, "ASPIRIN").otherwise("metformin")
+    end = F.when(F.col("p_size") % 3 == 0, ", EGFR after biopsy.").otherwise(", BRCA1.")
+    return _t(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" Cancer and "), drug, end).alias("text"))
+
+
+@query("select p_size::bigint as p_size, count(*) as n, count(*) as n_parts from part group by 1")
+def link_resumed(spark, d):
+    """Small parts first, then all: a second run links what the first didn't, none twice."""
+    rows = _t(spark, d, "part").select("p_partkey", "p_size", F.lit("disease").alias("entity_group"), F.lit(None).cast("string").alias("schema_id"), F.lower("p_name").alias("text"))
+    known = _parts_as_concepts(spark, d)
+    folder = _folder(spark)
+    linking.link_resumed(rows.filter("p_size <= 10"), known, "p_partkey", folder, "v1")
+    out = linking.link_resumed(rows, known, "p_partkey", folder, "v1")
+    return out.groupBy(F.col("p_size").cast("long").alias("p_size")).agg(F.count("*").alias("n"), F.countDistinct("p_partkey").alias("n_parts"))
+
+
+@query(f"select p_partkey, len(m)::bigint as n_spans, lower(array_to_string(m,'|')) as words from (select p_partkey, regexp_extract_all({_NOTE},'{_SCHEMA_PATTERNS}',0,'i') as m from part)")
+def recognize_schemas(spark, d):
+    """The patterns of the schemas alone: they are words of their own, so their spans never overlap."""
+    found = entities.recognize(_notes(spark, d), names=("regex",))
+    return found.select("p_partkey", F.size("annotations").cast("long").alias("n_spans"), F.lower(F.array_join(F.transform("annotations", lambda a: a["text"]), "|")).alias("words"))
+
+
+def _parts_as_concepts(spark, d):
+    """Part names as concepts of two vocabularies: large sizes are conditions of one, others drugs of the other."""
+    size = F.col("p_size") > 25
+    names = _t(spark, d, "part").groupBy(F.lower("p_name").alias("concept_name"), size.alias("big")).agg(F.min("p_partkey").cast("string").alias("concept_code"))
+    kind = lambda a, b: F.when(F.col("big"), a).otherwise(b)
+    return names.select(F.concat(kind("S", "R"), "concept_code").alias("concept_id"), kind("SNOMED", "RxNorm").alias("vocabulary_id"), kind("Condition", "Drug").alias("domain_id"), "concept_code", "concept_name", F.array().cast("array<string>").alias("synonyms"))
+
+
+_ROUTED_SQL = """with cn as (select lower(p_name) as name, p_size>25 as big, min(p_partkey)::varchar as code from part group by 1,2),
+rows as (select p_partkey, lower(p_name) as mention, p_partkey%4 as kind from part),
+m as (select distinct mention, kind=0 as big from rows where kind<2),
+pr as (select m.mention, m.big, code, name, list_distinct(string_split(mention,' ')) as a, list_distinct(string_split(name,' ')) as b from m join cn on m.big=cn.big where list_has_any(string_split(mention,' '),string_split(name,' '))),
+q as (select *, len(list_intersect(a,b))::double as same, len(a)::double as na, len(b)::double as nb from pr),
+s as (select mention, big, code, name, case when mention=name then 1.0 when (same=na or same=nb) and length(mention)>=3 then greatest(0.2+0.6*same/(na+nb-same), least(length(mention),length(name))::double/greatest(length(mention),length(name))) else 0.2+0.6*same/(na+nb-same) end::double as quality from q),
+r as (select *, row_number() over (partition by mention,big order by quality desc, name) as rk from s),
+g as (select mention, big, max(case when rk=1 then code end) as code, max(case when rk=1 then quality end) as q1, max(case when rk=2 then quality end) as q2 from r group by 1,2),
+t as (select *, case when q1<0.5 then 'rejected' when q1<0.7 or (q2 is not null and q1-q2<0.05 and q1<1) then 'ambiguous' else 'accepted' end as status from g)
+select p_partkey, case when kind>=2 then 'not_linkable' else coalesce(status,'rejected') end as linker_status, case when kind<2 and status='accepted' then case when kind=0 then 'SNOMED:' else 'RxNorm:' end||code else 'CUI-less' end as normalized_id, case when kind<2 then round(coalesce(q1,0),6) end as linker_score from rows left join t on rows.mention=t.mention and t.big=(kind=0) and kind<2"""
+
+
+@query(_ROUTED_SQL)
+def link_routed(spark, d):
+    """Part names as mentions: diseases, drugs, and two groups that no schema links."""
+    kind = F.col("p_partkey") % 4
+    rows = _t(spark, d, "part").select("p_partkey", F.when(kind == 0, "Disease").when(kind == 1, "x").when(kind == 2, "protein mutation").alias("entity_group"), F.when(kind == 1, "medication").when(kind == 0, "unheard of").alias("schema_id"), F.upper("p_name").alias("text"))
+    out = linking.link_annotations(rows, _parts_as_concepts(spark, d))
+    return out.select("p_partkey", "linker_status", F.col("normalized_id")[0].alias("normalized_id"), _r("linker_score").alias("linker_score"))
+
+
+@query("select p_partkey, 'SNOMED:0 '||case when p_size%2=0 then 'RxNorm:1 ' else 'CUI-less ' end||case when p_size%3=0 then 'HGNC:2 SNOMED:3' else 'CUI-less' end as ids, 'accepted '||case when p_size%2=0 then 'accepted ' else 'rejected ' end||case when p_size%3=0 then 'accepted accepted' else 'rejected' end as statuses from part")
+def annotate(spark, d):
+    """Notes recognised and linked to four concepts, one a region; the fifth region's is a gene of a vocabulary that no schema admits."""
+    at = F.col("r_regionkey") + 1
+    pick = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), at.cast("int"))
+    known = _t(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("concept_id"), pick("SNOMED", "RxNorm", "HGNC", "SNOMED", "Other").alias("vocabulary_id"), pick("Condition", "Drug", "Gene", "Procedure", "Gene").alias("domain_id"), F.col("r_regionkey").cast("string").alias("concept_code"), pick("cancer", "aspirin", "EGFR", "biopsy", "BRCA1").alias("concept_name"), F.array().cast("array<string>").alias("synonyms"))
+    out = linking.annotate(_notes(spark, d), "p_partkey", known, names=("regex",))
+    return out.select("p_partkey", F.array_join(F.transform("annotations", lambda a: a["normalized_id"][0]), " ").alias("ids"), F.array_join(F.transform("annotations", lambda a: a["linker_status"]), " ").alias("statuses"))
+
+
+@query("select vocabulary_id, domain_id, count(*) as n, count(distinct code) as n_codes from (select 'SNOMED' as vocabulary_id, 'Condition' as domain_id, lower(p_name) as name, min(p_partkey) as code from part where p_size>25 group by 3 union all select 'RxNorm','Drug', lower(p_name), min(p_partkey) from part where p_size<=25 group by 3 union all select 'Nation','Place', n_name, n_nationkey from nation) group by 1,2")
+def union_concepts(spark, d):
+    """Concepts of two sources with different columns."""
+    nations = _t(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("concept_id"), F.lit("Nation").alias("vocabulary_id"), F.lit("Place").alias("domain_id"), F.col("n_nationkey").cast("string").alias("concept_code"), F.col("n_name").alias("concept_name"))
+    out = concepts.union_concepts([_parts_as_concepts(spark, d), nations])
+    return out.groupBy("vocabulary_id", "domain_id").agg(F.count("*").alias("n"), F.countDistinct("concept_code").alias("n_codes"))
+
+
+@query("select l_orderkey as nct_id, count(*) as n, max(case when l_returnflag='R' then 'new' else 'old' end) as v from (select *, bool_or(l_returnflag='R') over (partition by l_orderkey) as c from lineitem) where not c or l_returnflag='R' group by 1")
+def sink_prepared(spark, d):
+    """Orders as trials, items as criteria; orders with a returned item come again with those items alone."""
+    folder = _folder(spark)
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("nct_id"), F.col("l_linenumber").alias("criterion"), "l_returnflag")
+    old = rows.withColumn("v", F.lit("old"))
+    new = rows.filter("l_returnflag = 'R'").withColumn("v", F.lit("new"))
+    for part in (old, new):
+        sinks.write_prepared(part.select("nct_id").distinct(), part, folder)
+    trials, lines = (upsert.VersionedTable(spark, f"{folder}/{n}").read() for n in ("trials", "criteria"))
+    return lines.join(trials, "nct_id").groupBy("nct_id").agg(F.count("*").alias("n"), F.max("v").alias("v"))
+
+
+@query("select c_custkey, sha256('{\"c_custkey\":'||c_custkey||',\"c_mktsegment\":\"'||c_mktsegment||'\",\"c_nationkey\":'||c_nationkey||'}') as digest from customer")
+def json_payload(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", F.sha2(sinks.json_payload("c_nationkey", "c_custkey", "c_mktsegment").cast("binary"), 256).alias("digest"))
+
+
 @query()
 def embed_hashing(spark, d):
     rows = entities.embed_hashing(_t(spark, d, "benchmark"), "text")
@@ -787,6 +923,21 @@ def windowed_counts(spark, d):
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("select o_custkey as patient_id, round(sum(o_totalprice)::double,2) as score, case when min(o_custkey)<=(select max(c_custkey)/2 from customer) then 'first' else 'second' end as run from orders group by 1")
+def run_matching(spark, d):
+    """Customers as patients, half of them matched by an earlier run with the same index and settings."""
+    folder = _folder(spark)
+    trials = _t(spark, d, "nation").select(F.col("n_nationkey").alias("nct_id"), F.col("n_name").alias("search_text"))
+    stored.build_index(trials, trials.select("nct_id", F.col("search_text").alias("criterion")), f"{folder}/index")
+    orders = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("patient_id")).agg(F.sum("o_totalprice").cast("double").alias("score"))
+    people_ = orders.select("patient_id")
+    half = _t(spark, d, "customer").agg((F.max("c_custkey") / 2).alias("half"))
+    run = lambda name: lambda who: who.join(orders, "patient_id").withColumn("run", F.lit(name))
+    early = people_.join(F.broadcast(half), F.col("patient_id") <= F.col("half")).select("patient_id")  # one row
+    stored.run_matching(early, f"{folder}/index", f"{folder}/out", {"mode": "bm25"}, run("first"))
+    return stored.run_matching(people_, f"{folder}/index", f"{folder}/out", {"mode": "bm25"}, run("second")).select("patient_id", _r("score", 2).alias("score"), "run")
+
+
 @query()
 def match(spark, d):
     """The whole matching plan: conversations as patients, documents as trials, their lines as criteria."""

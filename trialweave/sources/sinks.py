@@ -10,12 +10,13 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import TRIAL_VECTOR_WEIGHTS
 from ..functions.text import flatten_text
 from ..functions.vectors import mean_vector
+from ..operators.upsert import VersionedTable, replaced
 
 
 def trial_records(trials: DataFrame) -> DataFrame:
@@ -68,12 +69,63 @@ def export_phenopacket(patients: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.select("patient_id", F.to_json(packet).alias("packet"))
 
 
+def json_payload(*columns: str) -> Column:
+    """The columns as one JSON object, with its keys in order; the columns of a row that are null are left out."""
+    return F.to_json(F.struct(*sorted(columns)))
+
+
+def write_prepared(trials: DataFrame, criteria: DataFrame, path: str, key: str = "nct_id") -> None:
+    """Puts prepared trials and all their criteria in place of what was there for those ids, criteria first.
+
+    A trial's row is the mark that its criteria are written; criteria of an older text of the trial go. Both
+    tables are versions, so that readers see no half of a write.
+    """
+    spark = trials.sparkSession
+    rows = VersionedTable(spark, f"{path.rstrip('/')}/criteria")
+    now = rows.read()
+    rows.write(criteria if now is None else replaced(now, trials, criteria, key))
+    VersionedTable(spark, f"{path.rstrip('/')}/trials").upsert(trials, key)
+
+
 def report_rows(ranked: DataFrame, eligibility: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Ranked trials with verdicts and metadata, vectors left out; the rank is the position in the list."""
+    """Ranked trials with verdicts and metadata, vectors left out.
+
+    A list that carries no rank gets its position by score, where it has one, then id.
+    """
     meta = metadata.select([c for c in metadata.columns if not c.endswith("_vector")])
+    if "rank" not in ranked.columns:
+        order = [F.col("score").desc()] if "score" in ranked.columns else []
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("patient_id").orderBy(*order, "nct_id")))
     return ranked.join(eligibility, ["patient_id", "nct_id"], "left").join(meta, "nct_id", "left")
 
 
+#: Statuses of the summary in order, their titles, and how many lines each has at most.
+SUMMARY, SUMMARY_LINES = (("matched", "Matched"), ("violated", "Violated"), ("unknown", "Unknown")), 8
+
+
+def constraint_summaries(evaluations: DataFrame, top: DataFrame) -> DataFrame:
+    """(patient_id, markdown): the effect of constraints on each trial, ranked trials first, then others by id.
+
+    ``evaluations``: patient_id, nct_id, criteria_id, at, label, kind, status, signal, evidence_text, and the fact that answered.
+    ``top``: patient_id, nct_id, rank, score. Each trial shows the first lines of a status; the evaluations keep them all.
+    """
+    patient = F.coalesce(F.col("fact.evidence_text"), F.col("fact.label"), F.lit("no patient evidence"))
+    line = F.concat(F.lit("  - "), F.coalesce("label", "kind"), F.lit(". Patient: "), patient, F.lit(". Trial: "), F.coalesce("evidence_text", F.lit("")), F.lit("."))
+    w = Window.partitionBy("patient_id", "nct_id", "status").orderBy("criteria_id", "at")
+    few = evaluations.withColumn("_n", F.row_number().over(w)).withColumn("_line", F.when(F.col("_n") <= SUMMARY_LINES, line))
+    lists = {s: F.transform(F.array_sort(F.collect_list(F.when((F.col("status") == s) & F.col("_line").isNotNull(), F.struct("_n", "_line")))), lambda x: x["_line"]) for s, _ in SUMMARY}
+    per = few.groupBy("patient_id", "nct_id").agg(F.sum("signal").alias("_signal"), *[v.alias(f"_{s}") for s, v in lists.items()])
+    rows = per.join(top.select("patient_id", "nct_id", "rank", "score"), ["patient_id", "nct_id"], "full_outer")
+    shift = F.when(F.col("_signal") > 0.05, "boosted").when(F.col("_signal") < -0.05, "penalized").when(F.col("_signal").isNotNull(), "unchanged")
+    block = [F.concat(F.lit("## "), F.col("nct_id").cast("string")), F.concat(F.lit("- Retrieval score: "), F.format_string("%.4f", F.col("score").cast("double"))), F.concat(F.lit("- Constraint ranking effect: "), shift)]
+    block[1] = F.when(F.col("score").isNotNull(), block[1])
+    for s, title in SUMMARY:
+        block.append(F.when(F.size(f"_{s}") > 0, F.concat(F.lit(f"- {title}:\n"), F.array_join(f"_{s}", "\n"))))
+    rows = rows.withColumn("_text", F.concat_ws("\n", *block))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("rank").isNull().alias("_late"), F.coalesce("rank", F.lit(0)).alias("_rank"), F.col("nct_id").alias("_id"), "_text")))
+    return rows.groupBy("patient_id").agg(F.concat(F.lit("# Constraints and ranking\n\n"), F.array_join(F.transform(ordered, lambda x: x["_text"]), "\n\n"), F.lit("\n")).alias("markdown"))
+
+
 def render_html(rows: list[dict], title: str) -> str:
     """A page with the rows as a JSON island, safe to embed."""
     island = json.dumps(rows, default=str).replace("&", "\\u0026").replace("<", "\\u003c").replace(">", "\\u003e")
