@@ -20,7 +20,7 @@ _own_dir: list[str] = []
 
 
 #: Session setting for the bytes of an Arrow batch, its default, and ours: texts are worked on in smaller blocks anyway.
-_BATCH, _DEFAULT, _OURS = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB"), "8m"
+_BATCH, _DEFAULT, _OURS = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB"), "2m"
 
 
 def prepare(spark: SparkSession) -> None:

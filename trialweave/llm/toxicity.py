@@ -33,6 +33,8 @@ from ..shipping import ship
 from .common import Scratch
 from .tokens import U, chunks, text_bytes
 
+#: Text bytes worked on at a time: each has a feature an order, of 8 bytes, in several arrays.
+_BLOCK = 1 << 18
 #: A-Z to lower case, and every white space to a blank.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -138,11 +140,11 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labels: int = 20_0
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, (1 << bits) + 1), np.int64)  # the last column counts texts
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", _BLOCK):
                 doc, feature = text_features(part["text"], bits, orders)
                 y = (part["toxic"].to_numpy(zero_copy_only=False) > 0).astype(np.int64)
                 for k in (0, 1):
-                    seen[k, :-1] += np.bincount(feature[y[doc] == k], minlength=1 << bits)
+                    np.add.at(seen[k], feature[y[doc] == k], 1)
                     seen[k, -1] += (y == k).sum()
         some = np.flatnonzero(seen.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0, some]), pa.array(seen[1, some])], ["feature", "clean", "toxic"])
@@ -165,7 +167,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labels: int = 20_0
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", _BLOCK):
                 doc, f = text_features(part["text"], bits, orders, wanted)
                 n = np.bincount(doc, minlength=part.num_rows)
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(np.searchsorted(kept, f).astype(np.int16)))
@@ -199,7 +201,7 @@ def score_toxicity(documents: DataFrame, model: Model, threshold: float = 0.3) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", _BLOCK):
                 p = score_texts(part["text"], shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
