@@ -119,7 +119,7 @@ def annotate(texts: DataFrame, key: str, concepts: DataFrame | None, text: str =
     linked = link_annotations(spans.select(key, "annotation_error", "_at", "_a.*"), concepts, schemas)
     fields = ["entity_group", "text", "start", "end", "score", "schema_id", "normalized_id", "synonyms", "concept_candidates", "linker_score", "linker_status"]
     span = F.when(F.col("_at").isNotNull(), F.struct("_at", *fields))
-    lists = linked.groupBy(key).agg(F.max("annotation_error").alias("annotation_error"), F.array_sort(F.collect_list(span)).alias("_l"))
+    lists = linked.groupBy(key).agg(F.max("annotation_error").alias("annotation_error"), F.sort_array(F.collect_list(span)).alias("_l"))
     lists = lists.withColumn("annotations", F.transform("_l", lambda s: F.struct(*[s[f].alias(f) for f in fields]))).drop("_l")
     return texts.join(lists, key, "left")
 
