@@ -14,7 +14,8 @@ share of all n-grams and no pass over the corpus is needed to find the cuts.
    min-hash are compared with one centre each; the verified links fold groups of near copies into
    parts, so a group of g costs g comparisons, not g squared.
 3. *Completion.* Links inside a part change nothing. Among n-grams that several parts have, each class
-   takes its prefix with rare ones first (document frequency over what is left). In two rounds the members
+   takes its prefix with rare ones first (document frequency over what is left). Rows stay where size and place in
+   the prefix allow a row of another part to be the first common n-gram of a link. In two rounds the members
    of each prefix n-gram are compared with two of them drawn at random, which merges nearly all parts that
    link. Then all pairs of classes of different parts that meet in a prefix n-gram are compared: an
    n-gram's largest part only with its strangers, and a pair at the first n-gram that it shares.
@@ -52,6 +53,8 @@ _ROUNDS, _EARLIER = 2, 6
 _FRAGMENT = 500_000
 #: N-grams of a task that are settled together before they are sent, which bounds its memory too.
 _BLOCK = 300_000
+#: Ratio of one step of sizes to the next, in summaries of an n-gram's members.
+_STEP = 1.1
 _NULL_ID = -(2**63)
 
 
@@ -326,11 +329,13 @@ def _complete(sets: DataFrame, parts: DataFrame, percent: int, scratch: Scratch)
     rare = each.join(frequency, "gram").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("order"), F.max("n").alias("n"))
     # of the n-grams of one part only, which come first in the order, there are n - size(order)
     length = F.size("order") - F.ceil(F.col("n") * percent / 100) + 1
-    rare = rare.select("cls", length.cast("int").alias("length"), F.transform("order", lambda o: o["gram"]).alias("order")).filter("length > 0")
-    rare = rare.select("cls", F.posexplode(F.slice("order", F.lit(1), F.col("length"))).alias("at", "gram"), "order")
+    rare = rare.select("cls", "n", length.cast("int").alias("length"), F.transform("order", lambda o: o["gram"]).alias("order")).filter("length > 0")
+    rare = rare.select("cls", "n", (F.col("n") - F.size("order")).alias("before"), F.posexplode(F.slice("order", F.lit(1), F.col("length"))).alias("at", "gram"), "order")
+    rest = F.col("n") - F.col("before") - F.col("at")  # n-grams from this one on
+    most = F.floor(rest * (100 + percent) / percent) - F.col("n")
     earlier = F.slice("order", F.greatest(F.col("at") - _EARLIER + 1, F.lit(1)), F.least("at", F.lit(_EARLIER)))
-    rare = rare.select("cls", "gram", earlier.alias("earlier"))
-    met = scratch.keep(rare.join(open_.select("cls", "part", "n", "sketch"), "cls"), "prefixes-0")
+    rare = rare.select("cls", "gram", most.cast("long").alias("most"), earlier.alias("earlier"))
+    met = scratch.keep(_open_to_each_other(rare.join(open_.select("cls", "part", "n", "sketch"), "cls"), percent), "prefixes-0")
     for k in range(_ROUNDS):
         links, parts, met = _round(_centre_pairs(met, percent, k), sets, parts, met, percent, scratch, k)
         if links.isEmpty():
@@ -339,6 +344,24 @@ def _complete(sets: DataFrame, parts: DataFrame, percent: int, scratch: Scratch)
     return parts
 
 
+def _size_step(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(_STEP))).cast("int")
+
+
+def _open_to_each_other(met: DataFrame, percent: int) -> DataFrame:
+    """The rows whose n-gram has a row of another part that size and place allow to be the first common one of a link.
+
+    From its first common n-gram on, a partner's whole overlap must fit in, which is at least p / (100 + p) of both
+    sizes, so a row admits partners of percent of its own size up to ``most``. Both rows of a link's first common n-gram
+    stay. Each n-gram keeps one summary per step of sizes, a bounded list.
+    """
+    steps = met.groupBy("gram", _size_step(F.col("n")).alias("step")).agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("most").alias("reach"))
+    steps = steps.groupBy("gram").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.struct("step", "low", "high", "reach")).alias("steps")).filter("low <> high")
+    least, most = _size_step(F.ceil(F.col("n") * percent / 100)), _size_step(F.greatest(F.col("most"), F.lit(1)))
+    fits = F.exists("steps", lambda s: (s["step"] >= least) & (s["step"] <= most) & (s["reach"] >= F.col("n")) & ((s["low"] != F.col("part")) | (s["high"] != F.col("part"))))
+    return met.join(steps.select(F.col("gram").alias("_gram"), "steps"), (F.col("gram") == F.col("_gram")) & fits, "left_semi")
+
+
 def _centre_pairs(met: DataFrame, percent: int, k: int) -> DataFrame:
     """Each n-gram's members against two of them, drawn anew for each n-gram and round, where these are of another part."""
     row, draw = F.struct("cls", "part", "n", "sketch"), F.xxhash64(F.lit(k), "gram", "cls")
@@ -370,5 +393,4 @@ def _round(pairs: DataFrame, sets: DataFrame, parts: DataFrame, met: DataFrame,
     merged = components(grown.select(F.col("pa").alias("a"), F.col("pb").alias("b")), scratch, f"round-{k}").select(F.col("node").alias("part"), "component")
     parts = scratch.keep(parts.join(merged, "part", "left").select("cls", F.coalesce("component", "part").alias("part")), f"parts-{k}")
     met = met.join(merged, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
-    mixed = met.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("gram")
-    return links, parts, scratch.keep(met.join(mixed, "gram", "left_semi"), f"prefixes-{k + 1}")
+    return links, parts, scratch.keep(_open_to_each_other(met, percent), f"prefixes-{k + 1}")
