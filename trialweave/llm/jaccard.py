@@ -240,7 +240,9 @@ def jaccard_rows(documents: DataFrame, n: int = 5, percent: int = 75, extra: int
     counts = _shared_counts(documents.mapInArrow(prefixes, _SPREAD_SCHEMA), fragments)
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) * extra / 100))
     left = scratch.keep(classes.join(counts, "label").filter(F.col("shared") >= least).select("label", "rep", "n"), "left")
+    scratch.settle()
     sets = scratch.keep(_sets(documents, left, n), "sets")
+    scratch.settle()
     parts = _fold(sets, percent, scratch)
     parts = _complete(sets, parts, percent, scratch)
     named = classes.join(parts, classes.label == parts.cls, "left").select("label", "rep", F.coalesce("part", "label").alias("part"))
@@ -285,9 +287,15 @@ def _may_link(percent: int) -> Column:
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
+def _asked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that pairs name, filtered before any shuffle as long as their ids (16 bytes a row) are few enough to broadcast."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    return sets.join(F.broadcast(ids), "cls", "left_semi") if is_small(ids, 200_000) else sets
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps are counted per fragment and summed per pair."""
-    parts = sets.select("cls", "n", F.posexplode("grams").alias("fragment", "grams"))
+    """The pairs (a, b) that link: overlaps are counted per fragment and summed per pair. Only sets that are in a pair are sent."""
+    parts = _asked(sets, pairs).select("cls", "n", F.posexplode("grams").alias("fragment", "grams"))
     a = parts.select(F.col("cls").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
     b = parts.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
     both = pairs.select("a", "b").join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("same"))
@@ -302,6 +310,7 @@ def _fold(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     pairs = keyed.alias("b").join(centre.alias("a"), (F.col("a.k") == F.col("b.k")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.cls") != F.col("b.cls")) & _may_link(percent))
     pairs = scratch.keep(pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct(), "pairs-fold")
     links = scratch.keep(_verify(pairs, sets, percent), "links-fold")
+    scratch.settle()
     found = components(links, scratch, "fold").select(F.col("node").alias("cls"), F.col("component").alias("part"))
     return scratch.keep(sets.select("cls").join(found, "cls", "left").select("cls", F.coalesce("part", "cls").alias("part")), "parts-fold")
 
@@ -324,6 +333,7 @@ def _complete(sets: DataFrame, parts: DataFrame, percent: int, scratch: Scratch)
     counts = _shared_counts(labelled.select("cls", "part", "n", "grams").mapInArrow(spread, _SPREAD_SCHEMA), fragments)
     open_ = labelled.join(counts, F.col("cls") == F.col("label")).filter(F.col("shared") * 100 >= F.col("n") * percent)
     open_ = scratch.keep(open_.select("cls", "part", "n", "sketch", F.flatten("grams").alias("grams")), "open")
+    scratch.settle()
     each = open_.select("cls", "part", "n", F.explode("grams").alias("gram"))
     frequency = each.groupBy("gram").agg(F.count("*").alias("df"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("gram", "df")
     rare = each.join(frequency, "gram").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("order"), F.max("n").alias("n"))
@@ -336,6 +346,7 @@ def _complete(sets: DataFrame, parts: DataFrame, percent: int, scratch: Scratch)
     earlier = F.slice("order", F.greatest(F.col("at") - _EARLIER + 1, F.lit(1)), F.least("at", F.lit(_EARLIER)))
     rare = rare.select("cls", "gram", most.cast("long").alias("most"), earlier.alias("earlier"))
     met = scratch.keep(_open_to_each_other(rare.join(open_.select("cls", "part", "n", "sketch"), "cls"), percent), "prefixes-0")
+    scratch.settle()
     for k in range(_ROUNDS):
         links, parts, met = _round(_centre_pairs(met, percent, k), sets, parts, met, percent, scratch, k)
         if links.isEmpty():
@@ -387,6 +398,7 @@ def _round(pairs: DataFrame, sets: DataFrame, parts: DataFrame, met: DataFrame,
     """The links among some pairs, the parts that they join, and the members of n-grams that are still of several parts."""
     pairs = scratch.keep(pairs.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct(), f"pairs-{k}")
     links = scratch.keep(_verify(pairs, sets, percent), f"links-{k}")
+    scratch.settle()
     if links.isEmpty():
         return links, parts, met
     grown = links.join(parts.select(F.col("cls").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("cls").alias("b"), F.col("part").alias("pb")), "b")
