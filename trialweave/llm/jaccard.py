@@ -229,7 +229,7 @@ def jaccard_rows(documents: DataFrame, n: int = 5, percent: int = 75, extra: int
                 yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(label.astype(np.int64))], ["doc_id", "n", "label"])
 
     info = scratch.keep(documents.mapInArrow(describe, "doc_id long, n long, label long"), "info")
-    classes = scratch.keep(info.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    classes = scratch.keep(info.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("rows")), "classes")
     total = info.agg(F.sum("n")).first()[0] or 0
     fragments = max(1, -(-total * (100 - percent + extra) // 100 // _FRAGMENT))
 
@@ -239,7 +239,7 @@ def jaccard_rows(documents: DataFrame, n: int = 5, percent: int = 75, extra: int
 
     counts = _shared_counts(documents.mapInArrow(prefixes, _SPREAD_SCHEMA), fragments)
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) * extra / 100))
-    left = scratch.keep(classes.join(counts, "label").filter(F.col("shared") >= least).select("label", "rep", "n"), "left")
+    left = scratch.keep(classes.join(counts, "label").filter(F.col("shared") >= least).select("label", "rep", "n", "rows"), "left")
     scratch.settle()
     sets = scratch.keep(_sets(documents, left, n), "sets")
     scratch.settle()
@@ -247,17 +247,22 @@ def jaccard_rows(documents: DataFrame, n: int = 5, percent: int = 75, extra: int
     parts = _complete(sets, parts, percent, scratch)
     named = classes.join(parts, classes.label == parts.cls, "left").select("label", "rep", F.coalesce("part", "label").alias("part"))
     named = scratch.keep(named, "named")
-    scratch.drop("classes", "left", "sets", "open", *(f"{a}-{b}" for a in ("pairs", "links", "parts", "prefixes") for b in ("fold", *range(_ROUNDS + 1))))
+    scratch.drop("classes", "left", "sets", "chosen", "open", *(f"{a}-{b}" for a in ("pairs", "links", "parts", "prefixes") for b in ("fold", *range(_ROUNDS + 1))))
     ids = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     named = named.join(ids, "part").select("label", "part", "component_id")
     return info.join(named, "label", "left").select("doc_id", "label", "part", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _sets(documents: DataFrame, left: DataFrame, n: int) -> DataFrame:
-    """One row per remaining class: cls, n, sketch, minhash, and its n-grams in the global order by fragment."""
-    left = left.withColumn("_id", F.coalesce("rep", F.lit(_NULL_ID))).select("_id", "label")
+    """One row per remaining class: cls, n, sketch, minhash, and its n-grams in the global order by fragment.
+
+    A class of one row is sent nowhere; only of others can its first doc_id be repeated.
+    """
+    left = left.withColumn("_id", F.coalesce("rep", F.lit(_NULL_ID)))
     small = is_small(left, 200_000)  # 16 bytes a row
-    rows = documents.join(F.broadcast(left) if small else left, F.coalesce("doc_id", F.lit(_NULL_ID)) == F.col("_id")).select("text", "label")
+
+    def texts(some: DataFrame) -> DataFrame:
+        return documents.join(F.broadcast(some) if small else some, F.coalesce("doc_id", F.lit(_NULL_ID)) == F.col("_id")).select("text", "label")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +282,9 @@ def _sets(documents: DataFrame, left: DataFrame, n: int) -> DataFrame:
                 grams_ = pa.array(cuts, pa.list_(pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([pa.array(label[good].astype(np.int64)), pa.array(size[good].astype(np.int64)), sketch, pa.array(mins, pa.list_(pa.int64())), grams_], ["cls", "n", "sketch", "minhash", "grams"])
 
-    return rows.mapInArrow(build, "cls long, n long, sketch array<long>, minhash array<long>, grams array<array<long>>").dropDuplicates(["cls"])
+    schema = "cls long, n long, sketch array<long>, minhash array<long>, grams array<array<long>>"
+    single, several = (texts(left.filter(f).select("_id", "label")).mapInArrow(build, schema) for f in ("rows = 1", "rows > 1"))
+    return single.unionByName(several.dropDuplicates(["cls"]))
 
 
 def _may_link(percent: int) -> Column:
@@ -298,7 +305,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     parts = _asked(sets, pairs).select("cls", "n", F.posexplode("grams").alias("fragment", "grams"))
     a = parts.select(F.col("cls").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
     b = parts.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
-    both = pairs.select("a", "b").join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("same"))
+    named = pairs.select("a", "b")
+    both = a.join(F.broadcast(named) if is_small(named, 200_000) else named, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("same"))
     sums = both.groupBy("a", "b").agg(F.sum("same").alias("same"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return sums.filter(F.col("same") * 100 >= (F.col("na") + F.col("nb") - F.col("same")) * percent).select("a", "b")
 
@@ -329,9 +337,13 @@ def _complete(sets: DataFrame, parts: DataFrame, percent: int, scratch: Scratch)
                 size = part["n"].to_numpy()
                 yield _spread(h, np.repeat(np.arange(len(size)), size), part["cls"].to_numpy().view(U), part["part"].to_numpy().view(U), fragments)
 
-    labelled = sets.join(parts, "cls")
+    labelled = sets.join(F.broadcast(parts) if is_small(parts, 200_000) else parts, "cls")
     counts = _shared_counts(labelled.select("cls", "part", "n", "grams").mapInArrow(spread, _SPREAD_SCHEMA), fragments)
-    open_ = labelled.join(counts, F.col("cls") == F.col("label")).filter(F.col("shared") * 100 >= F.col("n") * percent)
+    # which classes stay is settled without their n-grams, so that only those are sent, if any
+    chosen = labelled.select("cls", "part", "n").join(counts, F.col("cls") == F.col("label")).filter(F.col("shared") * 100 >= F.col("n") * percent)
+    chosen = scratch.keep(chosen.select("cls", "part"), "chosen")
+    scratch.settle()
+    open_ = sets.join(F.broadcast(chosen) if is_small(chosen, 200_000) else chosen, "cls")
     open_ = scratch.keep(open_.select("cls", "part", "n", "sketch", F.flatten("grams").alias("grams")), "open")
     scratch.settle()
     each = open_.select("cls", "part", "n", F.explode("grams").alias("gram"))
