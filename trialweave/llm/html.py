@@ -1,21 +1,30 @@
-"""Main text of web pages: declared structure first, then a host suffix array over what is undeclared.
+"""Main text of web pages: a suffix array of each host marks boilerplate, declared structure checks what it marks.
 
 ``parse_page`` cuts a page into blocks, each in one of three zones: ``ARTICLE`` (inside article, or
 main where there is no article), ``CHROME`` (menus, headers, footers, sidebars, notices, adverts,
-forms, comments, by element, role, class or id) and ``OPEN`` (anything else). A page with an article
-is that article's blocks. Repetition across pages can't tell an article that was published twice from
-boilerplate, so it never removes declared article text; it decides about OPEN blocks of the pages that
-declare no article:
+forms, comments, by element, role, class or id) and ``OPEN`` (anything else).
 
-all words outside articles are taken as token streams per host, and every suffix is cut to ``min_run``
-words. Of pages of a host with the same body (the article, or the OPEN words where none is declared) one
+All words of all pages of a host, whatever their zone, are one token stream, and every suffix is cut to
+``min_run`` words; sorted, equal ones are neighbours. Longer runs need no depth beyond that: what they cover, their
+suffixes of ``min_run`` words cover too. Of pages with the same body (the article, or the OPEN words where none is declared) one
 counts, so copies and re-crawls don't make each other boilerplate. A run is boilerplate if at least
-``least_bodies`` and at least ``min_share`` of the host's distinct bodies have it; words of OPEN blocks that
-such runs cover are removed, all else stays. Each task sorts the suffixes it holds and sends one count for
-each, which are summed by suffix, so neither a host nor a menu that all its pages share is gathered in one place.
-
-A null html is an empty page and gives an empty text. A page without a host is on
-its own and keeps all its OPEN words. Truncated pages end where their html ends, as if all elements closed
+``least_bodies`` and at least ``min_share`` of the host's distinct bodies have it. Structure then checks the words
+that such runs cover:
+
+* OPEN words of a page without an article go where covered, and stay elsewhere.
+* An ARTICLE block goes if runs that lie in it cover all of it, and at least ``least_inside`` and at least
+  ``inside_share`` of the bodies have each of them inside an article block: a title that every sidebar of the host lists
+  isn't boilerplate of its own article, nor is a phrase inside a paragraph, nor a block shorter than ``min_run``. Where
+  more than half of an article's words would go, it is a near copy of others, and all of it stays.
+* CHROME goes, and so do OPEN blocks of a page with an article, covered or not: menus and adverts that differ from
+  page to page are no repetition.
+
+The bodies of a large host are dealt into parts of bounded size by hash. A run that reaches a share of all bodies reaches
+it in at least one part, so each part sorts its suffixes and names those that do, and only these are then counted over the
+host, exactly. Neither a host nor a menu that all its pages share is gathered in one place.
+
+A null html is an empty page and gives an empty text. A page without a host is
+on its own: nothing of it is boilerplate. Truncated pages end where their html ends, as if all elements closed
 there. Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -24,19 +33,25 @@ from __future__ import annotations
 import hashlib
 import html as htmllib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, is_small, joined
-from .tokens import U, chunks, grams, tokenize
+from .tokens import chunks, grams, release, tokenize
 
 ARTICLE, CHROME, OPEN, _MAIN = 0, 1, 2, 3
 #: Repeated runs (16 bytes each) up to which those of all hosts are broadcast.
 _RUNS = 400_000
+#: A host is dealt into parts of about so many characters of html, but not of fewer pages than this: in a part of
+#: three bodies each run would reach a share of 30%.
+_PART_CHARS, _PART_PAGES = 512 << 10, 16
+#: Host of a URL, as a Java pattern.
+_HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 _TAG = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:>|\Z)|</[^>]*(?:>|\Z)|<\Z")
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'>/]+)")
@@ -164,123 +179,177 @@ def parse_page(page: str) -> list[tuple[int, str]]:
     return [(ARTICLE if z == ARTICLE or z == _MAIN and not has_article else OPEN if z == _MAIN else z, t) for z, t in blocks]
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
-
-
 def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _stream(blocks: list[tuple[int, str]]) -> str:
-    """All words outside articles."""
-    return " ".join(t for z, t in blocks if z != ARTICLE)
-
-
 def _blocks(page: str | None, structure: bool) -> list[tuple[int, str]]:
     """The page's blocks; without ``structure`` all of them are open."""
     blocks = parse_page(page or "")
     return blocks if structure else [(OPEN, t) for _, t in blocks]
 
 
-def _streams(part: pa.RecordBatch, structure: bool) -> pa.RecordBatch:
-    """Of each page with a host: its body and stream, by digest, and the hashes of the stream's words."""
-    rows: list[tuple] = []
-    for page_id, url, html in zip(part["page_id"].to_pylist(), part["url"].to_pylist(), part["html"].to_pylist(), strict=True):
-        if not (host := _host(url)):
-            continue
-        blocks = _blocks(html, structure)
-        declared = any(z == ARTICLE for z, _ in blocks)
-        text = _stream(blocks)
-        body = " ".join(t for z, t in blocks if z == (ARTICLE if declared else OPEN))
-        rows.append((_digest(host), page_id, _digest(body), _digest(text), not declared, tokenize(pa.array([text], pa.string())).hash.tobytes()))
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "page_id", "body", "stream", "undeclared", "words"])
+def _body(blocks: list[tuple[int, str]]) -> int:
+    """Digest of the article, or of the OPEN words where none is declared."""
+    body = ARTICLE if any(z == ARTICLE for z, _ in blocks) else OPEN
+    return _digest(" ".join(t for z, t in blocks if z == body))
+
+
+def _pack(blocks: list[tuple[int, str]]) -> bytes:
+    return zlib.compress("\n".join(f"{z}{t}" for z, t in blocks).encode("utf-8", "surrogatepass"), 1)
+
+
+def _unpack(data: bytes) -> list[tuple[int, str]]:
+    return [(int(line[0]), line[1:]) for line in zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n") if line]
+
 
+def suffixes(pages: list[list[tuple[int, str]]], min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of the pages' words, each cut to ``min_run`` words: page, first word, hash, and whether it lies in one article block."""
+    t = tokenize(pa.array([text for p in pages for _, text in p], pa.string()))
+    runs, block = grams(t.hash, min_run).view(np.int64), t.owner()
+    page = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+    article = np.array([z == ARTICLE for p in pages for z, _ in p], bool)
+    first, last = block[: len(runs)], block[min_run - 1 : min_run - 1 + len(runs)]
+    at = np.flatnonzero(page[first] == page[last])
+    begin = np.searchsorted(page[block], np.arange(len(pages)))
+    mine = page[first[at]]
+    return mine, at - begin[mine], runs[at], (first[at] == last[at]) & article[first[at]]
 
-def repeated_runs(pages: DataFrame, min_run: int, min_share: float, least_bodies: int, structure: bool, scratch: Scratch) -> DataFrame:
-    """(page_id, stream, covered): where in the stream of an undeclared page runs of ``min_run`` words begin that are boilerplate of its host."""
+
+def _count(bodies: np.ndarray, runs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct runs in order, how many bodies have each, and how many have it inside an article block."""
+    order = np.lexsort((~inside, bodies, runs))  # the suffix array, to a depth of min_run words
+    bodies, runs, inside = bodies[order], runs[order], inside[order]
+    new = np.ones(len(runs), bool)
+    new[1:] = (runs[1:] != runs[:-1]) | (bodies[1:] != bodies[:-1])
+    runs, inside = runs[new], inside[new]
+    first = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]]) if len(runs) else np.zeros(0, np.int64)
+    return runs[first], np.diff(np.append(first, len(runs))), np.add.reduceat(inside.astype(np.int64), first) if len(runs) else first
+
+
+def _with_runs(pages: DataFrame, found: DataFrame, how: str, *lists: Column) -> DataFrame:
+    """The pages, each with lists of what was found for its host."""
+    runs = found.groupBy("host").agg(*lists)
+    return pages.join(F.broadcast(runs) if is_small(found, _RUNS) else runs, "host", how)
+
+
+def boilerplate_runs(pages: DataFrame, min_run: int, min_share: float, least_bodies: int, inside_share: float, least_inside: int, structure: bool, scratch: Scratch) -> DataFrame:
+    """(host, run, settled) of pages (host, html): the runs that are boilerplate of a host; the settled ones are so inside articles too."""
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "html"):
-                yield _streams(part, structure)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            host, run = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for h, w in zip(batch["host"].to_pylist(), batch["words"].to_pylist(), strict=True):
-                mine = np.unique(grams(np.frombuffer(w, U), min_run)).view(np.int64)  # a body counts once
-                host.append(np.full(len(mine), h))
-                run.append(mine)
-            h, r = np.concatenate(host), np.concatenate(run)
-            order = np.lexsort((r, h))  # the suffix array, to a depth of min_run words
-            h, r = h[order], r[order]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(r[first]), pa.array(np.diff(np.append(first, len(h))).astype(np.int64))], ["host", "run", "n"])
-
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                pages = [_blocks(html, structure) for html in part["html"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["host"], pa.array([_body(p) for p in pages], pa.int64()), pa.array([_pack(p) for p in pages], pa.binary())], ["host", "body", "words"])
+
+    def count(table: pa.Table) -> pa.Table:
+        hosts: dict[tuple, list[tuple]] = {}
+        for host, parts, body, words in zip(*(table[c].to_pylist() for c in ("host", "parts", "body", "words")), strict=True):
+            hosts.setdefault((host, parts), []).append((body, words))
+        out: dict[str, list] = {c: [] for c in ("host", "parts", "run", "n", "inside")}
+        for (host, parts), rows in hosts.items():
+            total = len({body for body, _ in rows})
+            runs, n, inside = [], [], []
+            if parts > 1 or total >= least_bodies:
+                page, _, r, i = suffixes([_unpack(words) for _, words in rows], min_run)
+                r, k, i = _count(np.array([body for body, _ in rows], np.int64)[page], r, i)
+                keep = k >= max(min_share * total - 1e-6, least_bodies if parts == 1 else 0)
+                runs, n, inside = r[keep].tolist(), k[keep].tolist(), i[keep].tolist()
+            # the last row of a host counts its bodies here
+            for c, values in zip(out, ([host] * (len(runs) + 1), [parts] * (len(runs) + 1), [*runs, None], [*n, total], [*inside, 0]), strict=True):
+                out[c] += values
+        release()
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], list(out))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            covered = []
-            for w, runs in zip(batch["words"].to_pylist(), batch["runs"].to_pylist(), strict=True):
-                covered.append(np.flatnonzero(np.isin(grams(np.frombuffer(w, U), min_run).view(np.int64), np.array(runs, np.int64))).tolist())
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["stream"], pa.array(covered, pa.list_(pa.int32()))], ["page_id", "stream", "covered"])
-
-    schema = "host long, page_id long, body long, stream long, undeclared boolean, words binary"
-    rows = scratch.keep(pages.select("page_id", "url", "html").mapInArrow(streams, schema), "streams")
-    hosts = scratch.keep(rows.filter("undeclared").select("host").distinct(), "hosts")
-    bodies = joined(rows, hosts, "host", "left_semi").groupBy("host", "body").agg(F.min_by("words", "stream").alias("words"))
-    bodies = scratch.keep(bodies.select("host", "words"), "bodies")
-    sizes = bodies.groupBy("host").agg(F.count("*").alias("bodies"))
-    found = bodies.mapInArrow(count, "host long, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
-    found = joined(found.filter(F.col("n") >= least_bodies), sizes, "host").filter(F.col("n") >= min_share * F.col("bodies"))
-    found = scratch.keep(found.select("host", "run"), "found")
-    runs = found.groupBy("host").agg(F.collect_list("run").alias("runs"))
-    undeclared = rows.filter("undeclared").select("host", "page_id", "stream", "words")
-    return undeclared.join(F.broadcast(runs) if is_small(found, _RUNS) else runs, "host").drop("host").mapInArrow(cover, "page_id long, stream long, covered array<int>")
-
-
-def main_text(blocks: list[tuple[int, str]], covered: np.ndarray | None, min_run: int) -> str:
-    """The article's blocks, or of a page without one the OPEN words that no repeated run covers."""
-    if any(z == ARTICLE for z, _ in blocks):
-        return "\n\n".join(t for z, t in blocks if z == ARTICLE)
-    if covered is None or not len(covered):
-        return "\n\n".join(t for z, t in blocks if z == OPEN)
-    out, at = [], 0
-    gone: set[int] = set()
-    for a in covered:
-        gone.update(range(int(a), int(a) + min_run))
-    for z, text in blocks:
-        words = text.split(" ")
-        if z == OPEN:
-            kept = [w for i, w in enumerate(words, at) if i not in gone]
+            for part in chunks(batch, "html"):
+                rows: list[tuple] = []
+                pages = [_blocks(html, structure) for html in part["html"].to_pylist()]
+                page, _, r, i = suffixes(pages, min_run)
+                ends = np.searchsorted(page, np.arange(len(pages) + 1))
+                for k, (host, named) in enumerate(zip(part["host"].to_pylist(), part["runs"].to_pylist(), strict=True)):
+                    own = np.arange(ends[k], ends[k + 1])
+                    own = own[np.isin(r[own], np.array(named, np.int64))]
+                    run, _, inside = _count(np.zeros(len(own), np.int64), r[own], i[own])
+                    rows += [(host, _body(pages[k]), *x) for x in zip(run.tolist(), inside.tolist(), strict=True)]
+                types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], ["host", "body", "run", "inside"])
+
+    parts = F.least(F.ceil(F.col("chars") / _PART_CHARS), F.ceil(F.col("pages") / _PART_PAGES))
+    sizes = pages.groupBy("host").agg(F.sum(F.length("html")).alias("chars"), F.count("*").alias("pages"))
+    sizes = scratch.keep(sizes.select("host", "chars", parts.cast("long").alias("parts")), "sizes")
+    groups = max(1, (sizes.agg(F.sum("chars")).first()[0] or 0) // _PART_CHARS)
+    rows = joined(pages.mapInArrow(streams, "host string, body long, words binary"), sizes.filter("parts > 1").select("host", "parts"), "host", "left")
+    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    # a group holds parts of large hosts and whole small hosts
+    named = rows.withColumn("group", F.pmod(F.xxhash64("host", F.pmod("body", "parts")), F.lit(groups))).groupBy("group").applyInArrow(count, "host string, parts long, run long, n long, inside long")
+    named = scratch.keep(named, "named")
+    # what a part of a large host names is counted in all its bodies
+    asked = scratch.keep(named.filter("parts > 1 and run is not null").select("host", "run").distinct(), "asked")
+    seen = _with_runs(pages, asked, "inner", F.collect_list("run").alias("runs")).select("host", "html", "runs").mapInArrow(hits, "host string, body long, run long, inside long")
+    seen = seen.groupBy("host", "run", "body").agg(F.max("inside").alias("inside")).groupBy("host", "run").agg(F.count("*").alias("n"), F.sum("inside").alias("inside"))
+    bodies = named.filter("run is null").groupBy("host").agg(F.sum("n").alias("bodies"))
+    counted = named.filter("parts = 1 and run is not null").select("host", "run", "n", "inside").unionByName(seen)
+    found = joined(counted, bodies, "host").filter((F.col("n") >= least_bodies) & (F.col("n") >= min_share * F.col("bodies")))
+    settled = (F.col("inside") >= least_inside) & (F.col("inside") >= inside_share * F.col("bodies"))
+    return scratch.keep(found.select("host", "run", settled.alias("settled")), "found")
+
+
+def main_text(blocks: list[tuple[int, str]], covered: np.ndarray | None, min_run: int, settled: np.ndarray | None = None) -> str:
+    """What is left of the blocks where boilerplate runs begin at the ``covered`` words of the page, those inside articles at the ``settled`` ones."""
+    ends = np.cumsum([text.count(" ") + 1 for _, text in blocks])
+    gone = _covered(ends, covered, min_run)
+    if not any(z == ARTICLE for z, _ in blocks):
+        left = []
+        for end, (z, text) in zip(ends, blocks, strict=True):
+            words = text.split(" ")
+            kept = [w for w, out in zip(words, gone[end - len(words) : end], strict=True) if not out] if z == OPEN else []
             if kept:
-                out.append(" ".join(kept))
-        at += len(words)
-    return "\n\n".join(out)
+                left.append(" ".join(kept))
+        return "\n\n".join(left)
+    inside = _covered(ends, settled, min_run)
+    article = [(end - text.count(" ") - 1, end, text) for end, (z, text) in zip(ends, blocks, strict=True) if z == ARTICLE]
+    left = [(a, b, text) for a, b, text in article if not inside[a:b].all()]
+    if 2 * sum(b - a for a, b, _ in left) < sum(b - a for a, b, _ in article):  # a near copy of other articles
+        left = article
+    return "\n\n".join(text for _, _, text in left)
+
+
+def _covered(ends: np.ndarray, starts: np.ndarray | None, min_run: int) -> np.ndarray:
+    """Which words of a page lie in runs that begin at the given ones."""
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    for a in () if starts is None else starts:
+        out[a : a + min_run] = True
+    return out
 
 
-def extract_main_text(pages: DataFrame, min_run: int = 6, min_share: float = 0.3, least_bodies: int = 3, structure: bool = True) -> DataFrame:
+def extract_main_text(pages: DataFrame, min_run: int = 6, min_share: float = 0.3, least_bodies: int = 3, structure: bool = True, inside_share: float = 0.5, least_inside: int = 10) -> DataFrame:
     """Each row's page_id, url, text and n_chars; without ``structure`` the suffix array alone decides about every block."""
     scratch = Scratch(pages.sparkSession, "html")
-    runs = repeated_runs(pages, min_run, min_share, least_bodies, structure, scratch).dropDuplicates(["page_id", "stream"])
-    runs = scratch.keep(runs.groupBy(F.col("page_id").alias("_page")).agg(F.collect_list(F.struct("stream", "covered")).alias("covered")), "runs")
-    scratch.drop("streams", "hosts", "bodies", "found")
-    rows = joined(pages.select("page_id", "url", "html"), runs, F.col("page_id").eqNullSafe(F.col("_page")), "left").select("page_id", "url", "html", "covered")
-
-    def text(url: str | None, html: str | None, covered: list | None) -> str:
-        blocks = _blocks(html, structure)
-        mine = None
-        if covered and _host(url):  # rows with one page_id may differ
-            stream = _digest(_stream(blocks))
-            mine = next((np.array(c["covered"]) for c in covered if c["stream"] == stream), None)
-        return main_text(blocks, mine, min_run)
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1))
+    rows = pages.select("page_id", "url", "html", host.alias("host"))
+    found = boilerplate_runs(rows.select("host", "html").filter("host <> ''"), min_run, min_share, least_bodies, inside_share, least_inside, structure, scratch)
+    scratch.drop("sizes", "named", "asked")
+    lists = (F.collect_list("run").alias("runs"), F.collect_list(F.when(F.col("settled"), F.col("run"))).alias("settled"))
+    rows = _with_runs(rows, found, "left", *lists).select("page_id", "url", "html", "runs", "settled")
+
+    def texts(part: pa.RecordBatch) -> list[str]:
+        pages, runs, settled = [_blocks(html, structure) for html in part["html"].to_pylist()], part["runs"].to_pylist(), part["settled"].to_pylist()
+        page, word, r, inside = suffixes([p if mine else [] for p, mine in zip(pages, runs, strict=True)], min_run)
+        ends = np.searchsorted(page, np.arange(len(pages) + 1))
+        out = []
+        for k, p in enumerate(pages):
+            own = slice(ends[k], ends[k + 1])
+            covered = np.isin(r[own], np.array(runs[k] or [], np.int64))
+            within = covered & inside[own] & np.isin(r[own], np.array(settled[k] or [], np.int64))
+            out.append(main_text(p, word[own][covered], min_run, word[own][within]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "html"):
-                texts = [text(*r) for r in zip(part["url"].to_pylist(), part["html"].to_pylist(), part["covered"].to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part["page_id"].cast(pa.int64()), part["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                found = texts(part)
+                yield pa.RecordBatch.from_arrays([part["page_id"].cast(pa.int64()), part["url"], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
